@@ -276,8 +276,8 @@ def real(source: str = "result", out: str = "real_result") -> str:
 
 def shares(source: str = "result", keys: str = "arm, ", out: str = "shares") -> str:
     def one(x):
-        plain = f"round_even({x} / nullif(total, 0) * 100 * 100, 0) / 100"
-        signed = f"100 + round_even({x} / nullif(abs(total), 0) * 100 * 100, 0) / 100"
+        plain = f"round_even(round({x} / nullif(total, 0) * 100 * 100, 6), 0) / 100"
+        signed = f"100 + round_even(round({x} / nullif(abs(total), 0) * 100 * 100, 6), 0) / 100"
         return f"""coalesce(CASE WHEN total = 0 AND {x} <> 0 THEN 100e0
                                  WHEN Metrics = 'Recency' THEN {signed} ELSE {plain} END, 0) AS {x}"""
 

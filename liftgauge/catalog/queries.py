@@ -472,13 +472,13 @@ def customer_tests_query(t: Tables) -> DataFrame:
 
 @query("day_tests", TEST_TABLE, days_sql(sql.day_tests(), select="SELECT * FROM day_tests"))
 def day_tests_query(t: Tables) -> DataFrame:
-    return t.campaign().day_tests
+    return t.campaign(keep=False).day_tests
 
 
 @query("day_tests_post_long", TEST_TABLE,
        days_sql(sql.day_tests(), select="SELECT * FROM day_tests", periods=PERIODS["post_long"]))
 def day_tests_post_long(t: Tables) -> DataFrame:
-    return t.campaign("post_long").day_tests
+    return t.campaign("post_long", keep=False).day_tests
 
 
 CHOICE = "split_part(arm, '/', 1) AS promo_choice, split_part(arm, '/', 2) AS initiative_choice, *"
@@ -543,8 +543,8 @@ def _delta_sql() -> str:
         scale = 100 if m == "Frequency%" else 1
         post, pre = f"b.{sql.q(m)}", f"a.{sql.q(m)}"
         shown_columns += [
-            f"round_even({post} * {scale} * 100, 0) / 100 AS {sql.q(m + '_post')}",
-            f"round_even(({post} - {pre}) * {scale} * 100, 0) / 100 AS {sql.q(m + '_D')}",
+            f"round_even(round({post} * {scale} * 100, 6), 0) / 100 AS {sql.q(m + '_post')}",
+            f"round_even(round(({post} - {pre}) * {scale} * 100, 6), 0) / 100 AS {sql.q(m + '_D')}",
         ]
     return f"""SELECT arm, arms.promo AS Promo_Segment, arms.initiative AS Initiative, CustomerID,
   {', '.join(shown_columns)}

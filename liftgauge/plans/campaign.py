@@ -69,8 +69,8 @@ class Campaign:
 
     @cached_property
     def cube(self) -> DataFrame:
-        cube = day_cube(self.marked, self.metrics)
-        return written(cube, "day-cube") if self.keep else cube
+        """Day sums of all segments and initiatives."""
+        return day_cube(self.marked, self.metrics)
 
     @cached_property
     def days(self) -> DataFrame:
@@ -137,7 +137,9 @@ class Campaign:
 
     @cached_property
     def synthetic_days(self) -> DataFrame:
-        return synthetic_days(self.days, self.metrics)
+        # Read several times over, and no more rows than days.
+        days = written(self.days, "days") if self.keep else self.days
+        return synthetic_days(days, self.metrics)
 
     @cached_property
     def synthetic_customers(self) -> DataFrame:
