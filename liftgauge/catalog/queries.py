@@ -467,7 +467,7 @@ def day_weighted_means(t: Tables) -> DataFrame:
 
 @query("customer_tests", TEST_TABLE, players_sql(sql.customer_tests(), select="SELECT * FROM customer_tests"))
 def customer_tests_query(t: Tables) -> DataFrame:
-    return t.campaign().customer_tests
+    return t.campaign(keep=False).customer_tests
 
 
 @query("day_tests", TEST_TABLE, days_sql(sql.day_tests(), select="SELECT * FROM day_tests"))
@@ -488,7 +488,7 @@ CHOICE_SHAPE: Shape = {"promo_choice": "s", "initiative_choice": "s"}
 @query("customer_test_grid", {**CHOICE_SHAPE, **{k: v for k, v in TEST_TABLE.items() if k != "arm"}},
        players_sql(sql.customer_tests(), select=f"SELECT {CHOICE} FROM customer_tests", arms=sql.grid_arms()))
 def customer_test_grid(t: Tables) -> DataFrame:
-    return t.campaign().customer_grid
+    return t.campaign(keep=False).customer_grid
 
 
 @query("cohort_grid", {**CHOICE_SHAPE, **RESULT},

@@ -16,10 +16,10 @@ def with_two_sided_p(tests: DataFrame, t: str, df: str, name: str = "p_value") -
     """
     return (
         tests.withColumn("_size", F.expr(f"abs({t})"))
-        .withColumn("_v", F.expr(f"double({df})"))
+        .withColumn("_v", F.expr(f"if({df} >= 1, double({df}), null)"))
         .withColumns({"_z": F.expr(_normal_deviate("_size", "_v")), "_cos2": F.expr("_v / (_v + _size * _size)")})
         .withColumn(name, F.expr(f"""
-            CASE WHEN _size IS NULL OR isnan(_size) OR _v IS NULL OR _v < 1 THEN NULL
+            CASE WHEN _size IS NULL OR isnan(_size) OR _v IS NULL THEN NULL
                  WHEN _size = double('Infinity') THEN 0D
                  ELSE greatest(0D, least(1D, CASE WHEN _v <= {EXACT_UP_TO} THEN 1 - {_inside(df)}
                                                   ELSE 2 * {_normal_tail("_z")} END))

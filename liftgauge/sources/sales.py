@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import timedelta
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from liftgauge.params import Window
-
 # The input columns and the date format of the text files.
 SALES_CSV = T.StructType([
     T.StructField("CustomerID", T.LongType()),
@@ -53,14 +49,7 @@ def rejected_dates(lines: DataFrame) -> DataFrame:
     )
 
 
-def _within(column: str, window: Window) -> Column:
-    # Bounds on the stored timestamp itself, so that they reach the parquet reader.
-    first = F.lit(window.start.isoformat()).cast("timestamp_ntz")
-    after = F.lit((window.end + timedelta(days=1)).isoformat()).cast("timestamp_ntz")
-    return (F.col(column) >= first) & (F.col(column) < after)
-
-
-def sales_from_orders(spark: SparkSession, folder: str, span: Window | None = None) -> DataFrame:
+def sales_from_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Sales lines out of lineitem, orders and part.
 
     Transaction_ID stays the numeric order key, so that grouping by transaction can reuse the
@@ -69,13 +58,11 @@ def sales_from_orders(spark: SparkSession, folder: str, span: Window | None = No
     def table(name):
         return spark.read.parquet(f"{folder}/{name}.parquet")
 
-    orders = table("orders")
-    if span is not None:
-        orders = orders.where(_within("o_orderdate", span))
+    orders = table("orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount")
     return (
         lines
-        .join(orders.select("o_orderkey", "o_custkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table("part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"))
         .select(
             F.col("o_custkey").alias("CustomerID"),

@@ -1,0 +1,118 @@
+import random
+from datetime import date, timedelta
+
+import pytest
+from conftest import as_dicts
+from pyspark.sql import functions as F
+
+from liftgauge.operators.cohorts import ARM_KEYS, assign_arms
+from liftgauge.operators.days import calendar_recency, customer_calendar, day_cube, day_features
+from liftgauge.operators.facts import daily_facts
+from liftgauge.operators.labels import mark
+from liftgauge.params import Cohort, Periods
+
+EVERYONE = {"everyone": Cohort()}
+PERIOD_SETS = {
+    "equal": Periods.of("2020-01-01", "2020-01-31", "2020-02-01", "2020-03-02"),
+    "post_long": Periods.of("2020-01-01", "2020-01-10", "2020-01-11", "2020-02-29"),
+    "pre_long": Periods.of("2020-01-01", "2020-02-15", "2020-02-16", "2020-03-01"),
+    "apart": Periods.of("2020-01-01", "2020-01-20", "2020-02-10", "2020-02-25"),
+    "overlapping": Periods.of("2020-01-10", "2020-01-31", "2020-01-01", "2020-02-15"),
+    "post_first": Periods.of("2020-02-01", "2020-02-28", "2020-01-01", "2020-01-31"),
+}
+
+
+def facts(purchases, initiatives, metrics, items, periods):
+    return mark(daily_facts(purchases(items), metrics), initiatives(1, 2, 3), periods)
+
+
+def days_of(marked, metrics, periods, arms=EVERYONE):
+    return day_features(assign_arms(day_cube(marked, metrics), arms), ARM_KEYS, metrics, periods)
+
+
+def test_means_totals_and_shares(purchases, initiatives, metrics):
+    periods = PERIOD_SETS["equal"]
+    marked = facts(purchases, initiatives, metrics, [
+        (1, "2020-01-05", 2, "Used"), (2, "2020-01-05", 4, "Used"), (3, "2020-01-06", 0, "Used"),
+    ], periods)
+    rows = as_dicts(days_of(marked, metrics, periods), "Transaction_Date")
+    first, second = rows[date(2020, 1, 5)], rows[date(2020, 1, 6)]
+    assert first["ActiveCustomer"] == 2 and first["ActiveCustomer%"] == pytest.approx(2 / 3)
+    assert first["Quantity_All"] == 3.0 and first["Quantity_All_day"] == 6.0 and first["Transactions_day"] == 2
+    assert first["Price_All"] == 10.0 and second["Price_All"] is None
+    assert sum(r["ActiveCustomer%"] for r in rows.values()) == pytest.approx(1)
+
+
+def test_recency_by_hand(purchases, initiatives, metrics):
+    periods = PERIOD_SETS["equal"]
+    marked = facts(purchases, initiatives, metrics, [
+        (1, "2020-01-05"), (1, "2020-01-11"), (2, "2020-01-08"), (2, "2020-01-20"),
+    ], periods)
+    rows = as_dicts(days_of(marked, metrics, periods), "Transaction_Date")
+    found = [rows[d]["Recency"] for d in sorted(rows)]
+    # day 5: only customer 1, just active; day 8: -3 and 0; day 11: 0 and -3; day 20: -9 and 0
+    assert found == [0.0, -1.5, -1.5, -4.5]
+
+
+def plain_recency(items, periods):
+    """Mean recency per (period, day) straight from the definition."""
+    pre, post = periods.recency
+    active = {}
+    for customer, day, *_ in items:
+        day = date.fromisoformat(day)
+        period = "Pre" if pre.start <= day <= pre.end else "Post" if post.start <= day <= post.end else None
+        if period:
+            active.setdefault((period, customer), set()).add(day)
+    distances = {}
+    for (period, _), own in active.items():
+        day, end = min(own), (pre if period == "Pre" else post).end
+        while day <= end:
+            last = max(d for d in own if d <= day)
+            distances.setdefault((period, day), []).append(-(day - last).days)
+            day += timedelta(days=1)
+    return {k: sum(v) / len(v) for k, v in distances.items()}
+
+
+@pytest.mark.parametrize("name", PERIOD_SETS)
+def test_both_recencies_follow_the_definition(purchases, initiatives, metrics, name):
+    rng = random.Random(name)
+    periods = PERIOD_SETS[name]
+    start = date(2019, 12, 25)
+    items = sorted({(rng.randint(1, 12), (start + timedelta(days=rng.randint(0, 75))).isoformat()) for _ in range(70)})
+    marked = facts(purchases, initiatives, metrics, items, periods).persist()
+    expected = plain_recency(items, periods)
+
+    calendar = calendar_recency(customer_calendar(marked, periods, []), [])
+    found = {(r.Period, r.Transaction_Date): r.Recency for r in calendar.collect()}
+    assert found == pytest.approx(expected)
+
+    days = days_of(marked, metrics, periods).collect()
+    assert days
+    for r in days:
+        assert r.Recency == (
+            None if (r.Period, r.Transaction_Date) not in expected
+            else pytest.approx(expected[r.Period, r.Transaction_Date])
+        ), (r.Period, r.Transaction_Date)
+    marked.unpersist()
+
+
+def test_days_past_the_cut_window_have_no_recency(purchases, initiatives, metrics):
+    periods = PERIOD_SETS["post_long"]
+    marked = facts(purchases, initiatives, metrics, [(1, "2020-01-12"), (1, "2020-01-21"), (1, "2020-01-22")], periods)
+    rows = as_dicts(days_of(marked, metrics, periods), "Transaction_Date")
+    assert [rows[d]["Recency"] for d in sorted(rows)] == [0.0, 0.0, None]
+
+
+def test_every_arm_from_one_cube(purchases, initiatives, metrics):
+    periods = PERIOD_SETS["equal"]
+    marked = facts(purchases, initiatives, metrics, [
+        (1, "2020-01-05"), (4, "2020-01-05"), (2, "2020-02-05"), (5, "2020-02-05", 3, "Used"),
+    ], periods)
+    arms = {"all": Cohort(), "with": Cohort("All", "BuyOneGetOne"), "promo": Cohort("PromoPost"), "none": Cohort("All", "-")}
+    days = days_of(marked, metrics, periods, arms)
+    found = {(r.arm, r.Period): r.ActiveCustomer for r in days.collect()}
+    assert found == {
+        ("all", "Pre"): 2, ("all", "Post"): 2, ("with", "Pre"): 1, ("with", "Post"): 1, ("promo", "Post"): 1,
+    }
+    shares = days.groupBy("arm", "Period").agg(F.sum("ActiveCustomer%").alias("s")).collect()
+    assert all(r.s == pytest.approx(1) for r in shares)
