@@ -42,8 +42,14 @@ def real_result(result: DataFrame) -> DataFrame:
     test = [F.max(F.when(is_test, named(c))).alias(f"test_{c}") for c in ("Pre", "Post", "Var", "Var%", "Sign")]
     control = [F.max(F.when(is_control, F.col(c))).alias(f"control_{c}") for c in ("Pre", "Post")]
     paired = (
-        result.groupBy("metric_order", "Metrics")
-        .agg(*test, *control, F.count_if(is_test).alias("_tests"), F.count_if(is_control).alias("_controls"))
+        result.groupBy("Metrics")
+        .agg(
+            F.max(F.when(is_test, F.col("metric_order"))).alias("metric_order"),
+            *test,
+            *control,
+            F.count_if(is_test).alias("_tests"),
+            F.count_if(is_control).alias("_controls"),
+        )
         .where((F.col("_tests") > 0) & (F.col("_controls") > 0))
     )
     nothing_to_subtract = (F.col("control_Pre") == 0) | (F.col("control_Post") == 0)

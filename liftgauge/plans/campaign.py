@@ -144,7 +144,9 @@ class Campaign:
     @cached_property
     def synthetic_customers(self) -> DataFrame:
         around = self._marked(self.periods.around_switch(), "around-switch")
-        return synthetic_customers(self.customers, around, self.arms[TEST], self.arms[CONTROL])
+        # The draw reads its pool several times over: to count, to number and to pick.
+        people = written(self.customers, "customers") if self.keep else self.customers
+        return synthetic_customers(people, around, self.arms[TEST], self.arms[CONTROL])
 
     @cached_property
     def synthetic_result(self) -> DataFrame:
