@@ -227,8 +227,8 @@ def tests(source: str, keys: list[str], weight: str, plain: list[str], totals: M
   SELECT *, Post - Pre AS Var,
          CASE WHEN Pre = 0 OR Post = 0 THEN 'NA' ELSE format('{{:.2f}}%', {change_sql}) END AS "Var%",
          CASE WHEN total OR known < n OR n < 2 THEN NULL
-              WHEN spread = 0 AND Post = Pre THEN NULL
-              WHEN spread = 0 THEN CASE WHEN Post > Pre THEN 'inf'::DOUBLE ELSE '-inf'::DOUBLE END
+              WHEN spread <= 1e-12 * abs(Post) THEN CASE WHEN Post - Pre > 1e-12 * abs(Post) THEN 'inf'::DOUBLE
+                                                         WHEN Post - Pre < -1e-12 * abs(Post) THEN '-inf'::DOUBLE END
               ELSE (Post - Pre) / (spread / sqrt(n)) END AS t_stat,
          CASE WHEN NOT total THEN n - 1 END AS df FROM {out}_pairs),
 {out}_p AS (SELECT *, {series('df', 't_stat')} AS p_value FROM {out}_t),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from liftgauge.functions.formatting import metric_text
 from liftgauge.functions.scalar import direction, distance_share, share
+from liftgauge.operators.significance import tested
 from liftgauge.params import Metrics
 
 # The rows taken over from the customer table, the row without a share.
@@ -23,11 +24,11 @@ def metric_order(metrics: Metrics):
     return F.when(place > 0, place).otherwise(len(order) + 1).cast("int")
 
 
-def combine_tests(day_table: DataFrame, customer_table: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
-    """All day metrics and the two customer metrics that the day table lacks."""
-    taken = customer_table.where(F.col("Metrics").isin(*FROM_CUSTOMERS))
+def combine_tests(day_pairs: DataFrame, customer_pairs: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
+    """All day metrics and the two customer metrics that the day table lacks, tested together."""
+    taken = customer_pairs.where(F.col("Metrics").isin(*FROM_CUSTOMERS))
     return (
-        day_table.unionByName(taken)
+        tested(day_pairs.unionByName(taken), keys)
         .withColumn("metric_order", metric_order(metrics))
         .select(*keys, *RESULT_COLUMNS)
     )

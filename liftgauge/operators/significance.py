@@ -6,7 +6,7 @@ while rows are aggregated; only the one row per group that is left gets turned i
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
@@ -31,7 +31,8 @@ class Comparison:
     # name of each total, and the SQL value it sums
     totals: Mapping[str, str]
     order: list[str]
-    change: Callable[[Column, Column], Column]
+    # whether Var% is taken from the size of the pre value, which differs below zero
+    signed: bool
     # the column that tells the rows of a group apart
     spread_by: str
     # whether a group has few rows, as many as there are days at most
@@ -52,8 +53,8 @@ def customer_comparison(metrics: Metrics) -> Comparison:
     plain = ["Frequency%", "Recency"]
     totals = {"Customers_Period": "1"}
     return Comparison(
-        "Frequency%", metrics.all, plain, totals, [*metrics.all, *plain, *totals], relative_change,
-        "CustomerID", small=False,
+        "Frequency%", metrics.all, plain, totals, [*metrics.all, *plain, *totals],
+        signed=False, spread_by="CustomerID", small=False,
     )
 
 
@@ -61,8 +62,8 @@ def day_comparison(metrics: Metrics) -> Comparison:
     plain = ["ActiveCustomer", "Recency"]
     totals = {"DaysCount_Period": "1"} | {f"{m}_Period": quoted(f"{m}_day") for m in metrics.day_totals}
     return Comparison(
-        "ActiveCustomer%", metrics.all, plain, totals, [*totals, *metrics.all, *plain], signed_change,
-        "Transaction_Date", small=True,
+        "ActiveCustomer%", metrics.all, plain, totals, [*totals, *metrics.all, *plain],
+        signed=True, spread_by="Transaction_Date", small=True,
     )
 
 
@@ -134,44 +135,52 @@ def _moments(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool
     return wide.select(*keys, "Period", "_n", F.expr(f"inline(array({', '.join(entries)}))"))
 
 
-def t_statistic(mean: Column, hypothesised: Column, spread: Column, n: Column) -> Column:
-    """Infinite where all rows agree on another value, null where they agree on the hypothesis."""
-    t = F.try_divide(mean - hypothesised, spread / F.sqrt(n))
-    certain = F.when(mean > hypothesised, F.lit(float("inf"))).when(mean < hypothesised, F.lit(float("-inf")))
-    return F.when(spread == 0, certain).otherwise(t)
-
-
-def compare_periods(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool = True) -> DataFrame:
-    """The test table of each group: a row per metric, in the comparison's order."""
+def paired_values(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool = True) -> DataFrame:
+    """Pre and post value of each metric, with what its test needs to know of the post rows."""
     post = f"FILTER (WHERE Period = '{POST}')"
-    paired = _moments(rows, keys, how, few_groups).groupBy(*keys, "position", "Metrics").agg(
+    return _moments(rows, keys, how, few_groups).groupBy(*keys, "position", "Metrics").agg(
         F.expr(f"max(_value) FILTER (WHERE Period = '{PRE}')").alias("Pre"),
         F.expr(f"max(_value) {post}").alias("Post"),
         F.expr(f"max(_spread) {post}").alias("_spread"),
         F.expr(f"coalesce(max(_n) {post}, 0L)").alias("_n"),
         F.expr(f"coalesce(max(_known) {post}, 0L)").alias("_known"),
-    )
-    is_total = F.col("Metrics").isin(*how.totals)
-    sound = (F.col("_known") == F.col("_n")) & (F.col("_n") > 1)
-    pre, post_value = F.col("Pre"), F.col("Post")
-    tested = paired.withColumns({
+    ).withColumns({"_total": F.col("Metrics").isin(*how.totals), "_signed": F.lit(how.signed)})
+
+
+def t_statistic(mean: Column, hypothesised: Column, spread: Column, n: Column) -> Column:
+    """Infinite where all rows agree on another value, null where they agree on the hypothesis.
+
+    Below a trillionth of the mean a difference is nothing but the order of summing.
+    """
+    nothing = F.abs(mean) * 1e-12
+    apart = mean - hypothesised
+    certain = F.when(apart > nothing, F.lit(float("inf"))).when(apart < -nothing, F.lit(float("-inf")))
+    return F.when(spread <= nothing, certain).otherwise(F.try_divide(apart, spread / F.sqrt(n)))
+
+
+def tested(paired: DataFrame, keys: list[str]) -> DataFrame:
+    """Difference, t statistic, p-value and sign of paired values."""
+    is_total = F.col("_total")
+    sound = ~is_total & (F.col("_known") == F.col("_n")) & (F.col("_n") > 1)
+    pre, post = F.col("Pre"), F.col("Post")
+    compared = paired.withColumns({
         # A total over no rows is zero, a mean over no rows is unknown.
         "Pre": F.when(is_total, F.coalesce(pre, F.lit(0.0))).otherwise(pre),
-        "Post": F.when(is_total, F.coalesce(post_value, F.lit(0.0))).otherwise(post_value),
+        "Post": F.when(is_total, F.coalesce(post, F.lit(0.0))).otherwise(post),
     }).withColumns({
-        "Var": post_value - pre,
-        "Var%": how.change(pre, post_value),
-        "t_stat": F.when(sound & ~is_total, t_statistic(post_value, pre, F.col("_spread"), F.col("_n"))),
+        "Var": post - pre,
+        "Var%": F.when(F.col("_signed"), signed_change(pre, post)).otherwise(relative_change(pre, post)),
+        "t_stat": F.when(sound, t_statistic(post, pre, F.col("_spread"), F.col("_n"))),
         "df": F.when(~is_total, F.col("_n") - 1),
     })
     return (
-        with_two_sided_p(tested, "t_stat", "df")
+        with_two_sided_p(compared, "t_stat", "df")
         .withColumn("Sign", F.when(is_total, "NA").when(F.col("p_value") < ALPHA, "Yes").otherwise("No"))
         .select(*keys, "position", "Metrics", "Pre", "Post", "Var", "Var%", "t_stat", "df", "p_value", "Sign")
     )
 
 
-def customer_tests(
+def customer_pairs(
     features: DataFrame,
     keys: list[str],
     metrics: Metrics,
@@ -179,8 +188,18 @@ def customer_tests(
     only: Sequence[str] | None = None,
 ) -> DataFrame:
     how = customer_comparison(metrics)
-    return compare_periods(features, keys, how if only is None else how.only(only), few_groups)
+    return paired_values(features, keys, how if only is None else how.only(only), few_groups)
+
+
+def day_pairs(days: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
+    return paired_values(days, keys, day_comparison(metrics))
+
+
+def customer_tests(features: DataFrame, keys: list[str], metrics: Metrics, few_groups: bool = True) -> DataFrame:
+    """The customer test table of each group: a row per metric."""
+    return tested(customer_pairs(features, keys, metrics, few_groups), keys)
 
 
 def day_tests(days: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
-    return compare_periods(days, keys, day_comparison(metrics))
+    """The day test table of each group: a row per metric."""
+    return tested(day_pairs(days, keys, metrics), keys)

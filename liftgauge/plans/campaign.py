@@ -15,7 +15,7 @@ from liftgauge.operators.days import day_cube, day_features
 from liftgauge.operators.facts import daily_facts
 from liftgauge.operators.labels import label, mark, with_period
 from liftgauge.operators.reports import FROM_CUSTOMERS, combine_tests, formatted, share_range, shares
-from liftgauge.operators.significance import customer_tests, day_tests
+from liftgauge.operators.significance import customer_pairs, customer_tests, day_pairs, day_tests
 from liftgauge.operators.synthetic import synthetic_customers, synthetic_days
 from liftgauge.params import CONTROL, DEFAULT_ARMS, DEFAULT_PERIODS, TEST, Cohort, Metrics, Periods
 from liftgauge.session import written
@@ -87,12 +87,12 @@ class Campaign:
 
     @cached_property
     def result(self) -> DataFrame:
-        people = assign_arms(self.customers, self.arms)
-        return combine_tests(self.day_tests, self._customer_rows(people, ARM_KEYS), ARM_KEYS, self.metrics)
+        return self._combined(self.days, assign_arms(self.customers, self.arms), ARM_KEYS)
 
-    def _customer_rows(self, people: DataFrame, keys: list[str]) -> DataFrame:
-        """The tests that the combined result takes from the customer table, and no others."""
-        return customer_tests(people, keys, self.metrics, only=FROM_CUSTOMERS)
+    def _combined(self, days: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
+        # Of the customer metrics only those are worked out that the combined result takes over.
+        taken = customer_pairs(people, keys, self.metrics, only=FROM_CUSTOMERS)
+        return combine_tests(day_pairs(days, keys, self.metrics), taken, keys, self.metrics)
 
     @cached_property
     def formatted(self) -> DataFrame:
@@ -123,10 +123,8 @@ class Campaign:
     @cached_property
     def grid(self) -> DataFrame:
         """The result table of every cohort that can be chosen, from the same passes over the facts."""
-        people = assign_all_cohorts(self.customers)
         days = day_features(assign_all_cohorts(self.cube), GRID_KEYS, self.metrics, self.periods)
-        tests = day_tests(days, GRID_KEYS, self.metrics)
-        return combine_tests(tests, self._customer_rows(people, GRID_KEYS), GRID_KEYS, self.metrics)
+        return self._combined(days, assign_all_cohorts(self.customers), GRID_KEYS)
 
     @cached_property
     def customer_grid(self) -> DataFrame:
@@ -151,8 +149,7 @@ class Campaign:
     @cached_property
     def synthetic_result(self) -> DataFrame:
         """The result table against the synthetic control."""
-        tests = day_tests(self.synthetic_days, ARM_KEYS, self.metrics)
-        return combine_tests(tests, self._customer_rows(self.synthetic_customers, ARM_KEYS), ARM_KEYS, self.metrics)
+        return self._combined(self.synthetic_days, self.synthetic_customers, ARM_KEYS)
 
     @cached_property
     def synthetic_real_result(self) -> DataFrame:

@@ -8,12 +8,15 @@ from liftgauge.operators.reports import combine_tests, formatted, share_range, s
 from liftgauge.params import Metrics
 
 METRICS = Metrics()
-TABLE = "arm string, Metrics string, Pre double, Post double, Var double, `Var%` string, Sign string"
+PAIRS = (
+    "arm string, position int, Metrics string, Pre double, Post double, _spread double, _n long, _known long, "
+    "_total boolean, _signed boolean"
+)
 RESULT = "metric_order int, Metrics string, Pre double, Post double, Var double, `Var%` string, Sign string"
 
 
 def table(spark, metrics):
-    return spark.createDataFrame([("a", m, 1.0, 2.0, 1.0, "100.00%", "No") for m in metrics], TABLE)
+    return spark.createDataFrame([("a", 0, m, 1.0, 2.0, 0.5, 9, 9, False, True) for m in metrics], PAIRS)
 
 
 def test_combined_result_order(spark):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from conftest import as_dicts
 
-from liftgauge.operators.significance import customer_tests, day_tests
+from liftgauge.operators.significance import customer_pairs, customer_tests, day_tests
 from liftgauge.params import Metrics
 
 METRICS = Metrics()
@@ -45,7 +45,7 @@ def test_weighted_t(spark):
 
 
 def test_small_spread_on_a_large_mean(spark):
-    values = [1e9 + d for d in (0.001, 0.002, 0.003, 0.005)]
+    values = [1e9 + d for d in (0.01, 0.02, 0.03, 0.05)]
     rows = [("a", "Pre", 1, 1e9, 1.0, 1)] + [("a", "Post", i, v, 0.5, 1) for i, v in enumerate(values)]
     found = as_dicts(customer_tests(features(spark, rows), ["arm"], METRICS), "Metrics")
     _, t = by_numpy([v - 1e9 for v in values], 0.0, [0.5] * 4)
@@ -61,6 +61,13 @@ def test_all_rows_alike(spark):
     assert same["t_stat"] is None and same["p_value"] is None and same["Sign"] == "No"
 
 
+def test_the_order_of_summing_is_no_difference(spark):
+    rows = [("a", "Pre", i, 0.1, w, 1) for i, w in enumerate([0.3, 0.7, 0.11])]
+    rows += [("a", "Post", i, 0.1, w, 1) for i, w in enumerate([0.1, 0.2, 0.37, 0.9])]
+    sales = as_dicts(customer_tests(features(spark, rows), ["arm"], METRICS), "Metrics")["Sales_All"]
+    assert sales["t_stat"] is None and sales["Sign"] == "No"
+
+
 def test_one_post_row(spark):
     rows = [("a", "Pre", 1, 2.0, 0.5, 1), ("a", "Post", 1, 3.0, 0.5, 1)]
     found = as_dicts(customer_tests(features(spark, rows), ["arm"], METRICS), "Metrics")
@@ -101,7 +108,7 @@ def test_many_groups_and_few_groups_agree(spark):
 def test_only_some_metrics(spark):
     rows = [("a", "Pre", 1, 1.0, 0.5, 1), ("a", "Post", 1, 2.0, 0.25, 1), ("a", "Post", 2, 2.0, 0.75, 1)]
     found = as_dicts(
-        customer_tests(features(spark, rows), ["arm"], METRICS, only=["Frequency%", "Customers_Period"]), "Metrics"
+        customer_pairs(features(spark, rows), ["arm"], METRICS, only=["Frequency%", "Customers_Period"]), "Metrics"
     )
     assert set(found) == {"Frequency%", "Customers_Period"} and found["Customers_Period"]["Post"] == 2.0
 
