@@ -29,6 +29,7 @@ from liftgauge.sources import profile
 from liftgauge.sources.sales import (
     CSV_DATE,
     initiatives_from_customers,
+    order_table,
     read_initiatives_csv,
     read_sales_csv,
     rejected_dates,
@@ -176,7 +177,7 @@ def date_rejects(t: Tables) -> DataFrame:
     text = F.when(F.col("o_orderstatus") == "P", F.date_format(day, "yyyy-MM-dd")).otherwise(
         F.date_format(day, "MM/dd/yyyy")
     )
-    return rejected_dates(t.spark.read.parquet(f"{t.folder}/orders.parquet").select(text.alias("Transaction_Date")))
+    return rejected_dates(order_table(t.spark, t.folder, "orders").select(text.alias("Transaction_Date")))
 
 
 SALES_TYPES = {

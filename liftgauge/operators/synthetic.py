@@ -62,10 +62,10 @@ def synthetic_days(days: DataFrame, metrics: Metrics) -> DataFrame:
     return test.unionByName(before).unionByName(after.select(*test.columns))
 
 
-def cohort_sizes(marked: DataFrame, test: Cohort, control: Cohort) -> tuple[int, int]:
+def cohort_sizes(labelled: DataFrame, test: Cohort, control: Cohort) -> tuple[int, int]:
     """Pre customers of both cohorts."""
     customers = (
-        marked.where((F.col("Period") == PRE) & (test.matches() | control.matches()))
+        labelled.where((F.col("Period") == PRE) & (test.matches() | control.matches()))
         .groupBy("CustomerID", "Promo_Segment", "Initiative")
         .agg(F.count(F.lit(1)).alias("_days"))
     )
@@ -117,14 +117,14 @@ def bootstrap(rows: DataFrame, key: str, fraction: float, seed: int = SEED) -> D
 
 
 def synthetic_customers(
-    features: DataFrame, marked_around_switch: DataFrame, test: Cohort, control: Cohort, seed: int = SEED
+    features: DataFrame, labelled_around_switch: DataFrame, test: Cohort, control: Cohort, seed: int = SEED
 ) -> DataFrame:
     """The customer table with the control replaced, tagged with its arm.
 
     The control's pre customers become the test arm's; its post customers are redrawn to the ratio
     that the two cohorts' sizes have close to the switch.
     """
-    n_test, n_control = cohort_sizes(marked_around_switch, test, control)
+    n_test, n_control = cohort_sizes(labelled_around_switch, test, control)
     if n_control == 0:
         raise ValueError("the control cohort has no customers before the switch")
     own = features.where(test.matches())

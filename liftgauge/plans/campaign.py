@@ -17,7 +17,7 @@ from liftgauge.operators.labels import label, mark, with_period
 from liftgauge.operators.reports import FROM_CUSTOMERS, combine_tests, formatted, share_range, shares
 from liftgauge.operators.significance import customer_pairs, customer_tests, day_pairs, day_tests
 from liftgauge.operators.synthetic import synthetic_customers, synthetic_days
-from liftgauge.params import CONTROL, DEFAULT_ARMS, DEFAULT_PERIODS, TEST, Cohort, Metrics, Periods
+from liftgauge.params import CONTROL, DEFAULT_ARMS, DEFAULT_PERIODS, TEST, Cohort, Metrics, Periods, Window
 from liftgauge.session import written
 
 FEW_INITIATIVES = 10_000
@@ -52,15 +52,15 @@ class Campaign:
         """Facts of all days with period, segment and initiative."""
         return label(self.daily, self.initiatives, self.periods)
 
-    def _marked(self, periods: Periods, name: str) -> DataFrame:
-        # Days outside the span change no result, so they are not read at all.
-        in_span = self.sales.where(periods.span.contains(F.col("Transaction_Date")))
-        facts = mark(daily_facts(in_span, self.metrics), self.initiatives, periods)
-        return written(facts, name) if self.keep else facts
+    def _facts_within(self, days: Window) -> DataFrame:
+        """Facts of some days only; the bound reaches the scan."""
+        return daily_facts(self.sales.where(days.contains(F.col("Transaction_Date"))), self.metrics)
 
     @cached_property
     def marked(self) -> DataFrame:
-        return self._marked(self.periods, "marked")
+        """Labelled facts with recency marks, of the days that can change a result."""
+        facts = mark(self._facts_within(self.periods.span), self.initiatives, self.periods)
+        return written(facts, "marked") if self.keep else facts
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -141,7 +141,9 @@ class Campaign:
 
     @cached_property
     def synthetic_customers(self) -> DataFrame:
-        around = self._marked(self.periods.around_switch(), "around-switch")
+        near = self.periods.around_switch()
+        # Read once, and only for the labels.
+        around = label(self._facts_within(near.span), self.initiatives, near)
         # The draw reads its pool several times over: to count, to number and to pick.
         people = written(self.customers, "customers") if self.keep else self.customers
         return synthetic_customers(people, around, self.arms[TEST], self.arms[CONTROL])

@@ -19,6 +19,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # One session runs many different queries; their compiled stages should not push each other out.
+        .config("spark.sql.codegen.cache.maxEntries", "2000")
         # Recording the Python call site of every column costs more than building the plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
