@@ -175,7 +175,8 @@ def series(df: str, t: str) -> str:
     theta = f"atan(abs({t}) / sqrt({df}))"
 
     def total(last, ratio):
-        items = f"list_transform(range(1, greatest({last}, 0) + 1), lambda k: {{'r': ({ratio}) * {cos2}, 't': 1e0, 's': 1e0}})"
+        entry = f"{{'r': ({ratio}) * {cos2}, 't': 1e0, 's': 1e0}}"
+        items = f"list_transform(range(1, greatest({last}, 0) + 1), lambda k: {entry})"
         step = "lambda a, e: {'r': 0e0, 't': a.t * e.r, 's': a.s + a.t * e.r}"
         return f"list_reduce({items}, {step}, {{'r': 0e0, 't': 1e0, 's': 1e0}}).s"
 

@@ -150,7 +150,8 @@ def initiatives_csv_scan(t: Tables) -> DataFrame:
 
 
 @query("sales_csv_scan",
-       {"Product_Category": "s", "Coupon_Status": "s", "lines": "i", "Quantity": 2, "first_date": "d", "last_date": "d"},
+       {"Product_Category": "s", "Coupon_Status": "s", "lines": "i", "Quantity": 2, "first_date": "d",
+        "last_date": "d"},
        sql.with_ctes(sql.SALES, select="""
 SELECT Product_Category, Coupon_Status, count(*) AS lines, sum(Quantity) AS Quantity,
        min(Transaction_Date) AS first_date, max(Transaction_Date) AS last_date FROM sales GROUP BY ALL"""))
@@ -167,8 +168,8 @@ def sales_csv_scan(t: Tables) -> DataFrame:
 
 
 @query("date_rejects", {"lines": "i", "dated": "i", "rejected": "i"}, """
-SELECT count(*) AS lines, count(d) AS dated, count(*) FILTER (WHERE d IS NOT NULL AND try_strptime(d, '%m/%d/%Y') IS NULL)
-  AS rejected
+SELECT count(*) AS lines, count(d) AS dated,
+       count(*) FILTER (WHERE d IS NOT NULL AND try_strptime(d, '%m/%d/%Y') IS NULL) AS rejected
 FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN strftime(o_orderdate, '%Y-%m-%d')
                   ELSE strftime(o_orderdate, '%m/%d/%Y') END AS d FROM orders)""")
 def date_rejects(t: Tables) -> DataFrame:

@@ -135,8 +135,11 @@ def _moments(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool
     return wide.select(*keys, "Period", "_n", F.expr(f"inline(array({', '.join(entries)}))"))
 
 
-def paired_values(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool = True) -> DataFrame:
-    """Pre and post value of each metric, with what its test needs to know of the post rows."""
+def paired_values(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool = False) -> DataFrame:
+    """Pre and post value of each metric, with what its test needs to know of the post rows.
+
+    `few_groups` says that the groups are few enough to broadcast a row for each.
+    """
     post = f"FILTER (WHERE Period = '{POST}')"
     return _moments(rows, keys, how, few_groups).groupBy(*keys, "position", "Metrics").agg(
         F.expr(f"max(_value) FILTER (WHERE Period = '{PRE}')").alias("Pre"),
@@ -184,7 +187,7 @@ def customer_pairs(
     features: DataFrame,
     keys: list[str],
     metrics: Metrics,
-    few_groups: bool = True,
+    few_groups: bool = False,
     only: Sequence[str] | None = None,
 ) -> DataFrame:
     how = customer_comparison(metrics)
@@ -195,7 +198,7 @@ def day_pairs(days: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
     return paired_values(days, keys, day_comparison(metrics))
 
 
-def customer_tests(features: DataFrame, keys: list[str], metrics: Metrics, few_groups: bool = True) -> DataFrame:
+def customer_tests(features: DataFrame, keys: list[str], metrics: Metrics, few_groups: bool = False) -> DataFrame:
     """The customer test table of each group: a row per metric."""
     return tested(customer_pairs(features, keys, metrics, few_groups), keys)
 

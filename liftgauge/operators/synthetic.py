@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from liftgauge.params import CONTROL, POST, PRE, TEST, Cohort, Metrics, Periods, named
+from liftgauge.params import CONTROL, POST, PRE, TEST, Cohort, Metrics, named
 
 # How many days set the proportion, the seed of the draw.
 LAST_DAYS = 35

@@ -79,7 +79,7 @@ class Campaign:
 
     @cached_property
     def customer_tests(self) -> DataFrame:
-        return customer_tests(assign_arms(self.customers, self.arms), ARM_KEYS, self.metrics)
+        return customer_tests(assign_arms(self.customers, self.arms), ARM_KEYS, self.metrics, few_groups=True)
 
     @cached_property
     def day_tests(self) -> DataFrame:
