@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from liftgauge.llm.decontamination import contamination
 from liftgauge.llm.licences import scan_licences
 from liftgauge.llm.piece_codec import encoded
+from liftgauge.llm.pii import find_spans
 from liftgauge.llm.quality import quality_table
 from liftgauge.llm.sharding import shard_table
 from liftgauge.llm.simhash import near_copies
@@ -25,6 +26,10 @@ def op2_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_spans(table(spark, folder, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     return judge_urls(pages, unwanted_hosts(pages)).select("page_id", "host", "path", "rule", "verdict")
@@ -53,8 +58,8 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_decontamination, op2_sharding, op4_url_filter, op5_sentencepiece, op6_warc, op8_licences,
-              op9_quality, op10_simhash)
+    for f in (op1_decontamination, op2_sharding, op3_pii, op4_url_filter, op5_sentencepiece, op6_warc,
+              op8_licences, op9_quality, op10_simhash)
 }
 
 # SQL for the queries that it can express.
