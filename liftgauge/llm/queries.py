@@ -9,6 +9,7 @@ from liftgauge.llm.licences import scan_licences
 from liftgauge.llm.piece_codec import encoded
 from liftgauge.llm.pii import find_spans
 from liftgauge.llm.quality import quality_table
+from liftgauge.llm.repeats import without_repeats
 from liftgauge.llm.sharding import shard_table
 from liftgauge.llm.simhash import near_copies
 from liftgauge.llm.tables import table
@@ -44,6 +45,10 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured")
 
 
+def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeats(table(spark, folder, "documents"))
+
+
 def op8_licences(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licences(table(spark, folder, "documents"))
 
@@ -59,7 +64,7 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_sharding, op3_pii, op4_url_filter, op5_sentencepiece, op6_warc,
-              op8_licences, op9_quality, op10_simhash)
+              op7_repeats, op8_licences, op9_quality, op10_simhash)
 }
 
 # SQL for the queries that it can express.
