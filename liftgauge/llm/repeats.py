@@ -93,13 +93,14 @@ def _rows(documents: DataFrame) -> DataFrame:
 
 
 def pieces(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """(core, bytes) of the wanted runs cut at every BLOCK from the anchor; windows that may be equal share a core.
+    """The wanted runs cut at every BLOCK from the anchor: (c1, c2, w, core, left, right).
 
-    The core is the hash of the bytes that all windows of a block have in common, with the block's place.
+    The bytes that all windows of a block have in common are its core, kept as a digest with the block's place;
+    `left` and `right` are the piece's bytes before and after it. Windows that may be equal share a core.
     """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c1s, cores, contents, firsts = [], [], [], []
+            rows = []
             for text, needed in zip(batch.column("text"), batch.column("needed"), strict=True):
                 raw = (text.as_py() or "").encode()
                 for run in needed.as_py():
@@ -108,41 +109,42 @@ def pieces(documents: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
                     while a + block * BLOCK <= e:
                         begin = a + block * BLOCK
                         w0, w1 = max(s, begin), min(e, begin + BLOCK - 1)
-                        core = raw[begin + BLOCK - 1:begin + width]
-                        digest = hashlib.blake2b(core, digest_size=16, salt=str(block).encode()).digest()
-                        c1s.append(run["c1"])
-                        cores.append(digest)
-                        contents.append(raw[w0:w1 + width])
-                        firsts.append(w0 - s)
+                        core = hashlib.blake2b(
+                            raw[begin + BLOCK - 1:begin + width], digest_size=16, salt=str(block).encode()).digest()
+                        rows.append((run["c1"], run["c2"], w0 - s, core, raw[w0:begin + BLOCK - 1],
+                                     raw[begin + width:w1 + width]))
                         block += 1
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            types = [pa.int64()] * 3 + [pa.binary()] * 3
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c1s, pa.int64()), pa.array(firsts, pa.int64()), pa.array(cores, pa.binary()),
-                 pa.array(contents, pa.binary())],
-                names=["c1", "w", "core", "content"])
+                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+                names=["c1", "c2", "w", "core", "left", "right"])
 
-    needed = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("s", "e", "a", "c1")).alias("needed"))
+    needed = wanted.groupBy("doc_id", "text_key").agg(
+        F.collect_list(F.struct("s", "e", "a", "c1", "c2")).alias("needed"))
     needed = needed.withColumnsRenamed({"doc_id": "_doc", "text_key": "_key"})
-    texts = _rows(documents).dropDuplicates(["doc_id", "text_key"])
+    texts = _rows(documents)
     joined = texts.join(needed, texts["doc_id"].eqNullSafe(F.col("_doc")) & (texts["text_key"] == F.col("_key")))
-    return joined.select("text", "needed").mapInArrow(work, "c1 long, w long, core binary, content binary")
+    return joined.select("text", "needed").mapInArrow(
+        work, "c1 long, c2 long, w long, core binary, left binary, right binary").distinct()
 
 
-def repeated_starts(contents: list[bytes], width: int) -> list[list[int]]:
+def repeated_starts(contents: list[str], width: int) -> list[list[int]]:
     """For each string the starts of its windows that also start elsewhere in the strings."""
     symbols: list[int] = []
     begins = []
     for n, content in enumerate(contents):
         begins.append(len(symbols))
-        symbols += [c + len(contents) for c in content]
+        symbols += [ord(c) + len(contents) for c in content]
         symbols.append(n)  # ends differ, so that no match goes past one
     owner = np.repeat(np.arange(len(contents)), [len(c) + 1 for c in contents])
     order = np.array(suffix_array(symbols), np.int64)
     at = order - np.array(begins)[owner[order]]
     room = np.array([len(c) for c in contents])[owner[order]] - at >= width
-    order, at, who = order[room], at[room], owner[order[room]]
+    at, who = at[room], owner[order[room]]
     out: list[list[int]] = [[] for _ in contents]
-    before, counted = b"", False
-    for i in range(len(order)):
+    before, counted = "", False
+    for i in range(len(at)):
         window = contents[who[i]][at[i]:at[i] + width]
         if window == before:
             if not counted:
@@ -154,42 +156,56 @@ def repeated_starts(contents: list[bytes], width: int) -> list[list[int]]:
     return out
 
 
-def contested(cut: DataFrame, width: int) -> DataFrame:
-    """(core, content_key, at): windows that are in several different pieces of one core."""
-    distinct = cut.select("core", "content", F.xxhash64("content").alias("content_key")).dropDuplicates(
-        ["core", "content_key"])
+def contested(cut: DataFrame) -> DataFrame:
+    """(core, piece, low, high): runs of windows that are in several different pieces of one core.
+
+    In the strings that are sorted a core is one sign of its own, so a window is BLOCK signs long: the core
+    and BLOCK - 1 bytes on both its sides together.
+    """
+    distinct = cut.select("core", "piece", "left", "right").dropDuplicates(["core", "piece"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         group: list[tuple] = []
-        size = 0
+        cores = size = 0
+
+        def close() -> None:
+            nonlocal cores, size
+            if len(group) > 1:
+                for core, piece, left, right in group:
+                    held.append((core, piece, left.decode("latin-1") + chr(256 + cores) + right.decode("latin-1")))
+                    size += len(left) + len(right) + 1
+                cores += 1
+            group.clear()
 
         def solved() -> pa.RecordBatch:
-            found = repeated_starts([h[1] for h in held], width)
-            rows = [(h[0], h[2], at) for h, starts in zip(held, found, strict=True) for at in starts]
-            columns = list(zip(*rows, strict=True)) or [()] * 3
+            nonlocal cores, size
+            rows = []
+            for (core, piece, _), starts in zip(held, repeated_starts([h[2] for h in held], BLOCK), strict=True):
+                ordered = np.sort(np.array(starts, np.int64))
+                cuts = np.flatnonzero(np.diff(ordered) > 1) + 1
+                rows += [(core, piece, int(part[0]), int(part[-1])) for part in np.split(ordered, cuts) if len(part)]
+            held.clear()
+            cores = size = 0
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            types = [pa.binary()] + [pa.int64()] * 3
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(c), t) for c, t in zip(columns, (pa.binary(), pa.int64(), pa.int64()), strict=True)],
-                names=["core", "content_key", "at"])
+                [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)],
+                names=["core", "piece", "low", "high"])
 
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if group and group[0][0] != row[0]:
-                    if len(group) > 1:
-                        held += group
-                        size += sum(len(g[1]) for g in group)
-                        if size > ARRAY_BYTES:
-                            yield solved()
-                            held, size = [], 0
-                    group = []
+                    close()
+                    if size > ARRAY_BYTES:
+                        yield solved()
                 group.append(row)
-        if len(group) > 1:
-            held += group
+        close()
         if held:
             yield solved()
 
-    dealt = distinct.repartition("core").sortWithinPartitions("core").select("core", "content", "content_key")
-    return dealt.mapInArrow(work, "core binary, content_key long, at long")
+    dealt = distinct.repartition("core").sortWithinPartitions("core").select("core", "piece", "left", "right")
+    return dealt.mapInArrow(work, "core binary, piece long, low long, high long")
 
 
 def repeated_spans(documents: DataFrame, width: int) -> DataFrame:
@@ -200,25 +216,24 @@ def repeated_spans(documents: DataFrame, width: int) -> DataFrame:
     contents = written(contents, "repeat-contents")
     several = contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     asked = contents.join(several, "key", "left_semi")
-    cut = written(pieces(documents, asked.select("one.*", "c1"), width), "repeat-pieces")
-    whole = contents.where("n > 1").select("c1", "c2")
-    # A piece in several contents is equal in all its windows; any further ones come from the suffix arrays.
-    keyed = cut.select("c1", "w", "core", F.xxhash64("content").alias("content_key"),
-                       (F.octet_length("content") - width).alias("last"))
-    shared = keyed.groupBy("core", "content_key").agg(F.count("*").alias("n")).where("n > 1").select(
-        "core", "content_key")
-    by_piece = keyed.join(shared, ["core", "content_key"]).select(
-        "c1", F.col("w").alias("low"), (F.col("w") + F.col("last")).alias("high"))
-    by_window = keyed.join(contested(cut, width), ["core", "content_key"]).select(
-        "c1", (F.col("w") + F.col("at")).alias("low"), (F.col("w") + F.col("at")).alias("high"))
-    offsets = by_piece.union(by_window).groupBy("c1").agg(F.collect_list(F.struct("low", "high")).alias("parts"))
-    ranges = found.select("doc_id", "text_key", "s", "e", "c1", "c2")
-    all_of = ranges.join(whole, ["c1", "c2"]).select(
-        "doc_id", "text_key", "s", (F.col("e") + width).alias("end"))
-    some_of = ranges.join(offsets, "c1").select("doc_id", "text_key", "s", F.explode("parts").alias("p")).select(
-        "doc_id", "text_key", (F.col("s") + F.col("p.low")).alias("s"), (F.col("s") + F.col("p.high") + width).alias("end"))
-    return all_of.union(some_of).groupBy("doc_id", "text_key").agg(
-        F.collect_set(F.struct("s", "end")).alias("spans"))
+    cut = written(
+        pieces(documents, asked.select("one.*", "c1", "c2"), width)
+        .withColumn("piece", F.xxhash64("left", F.lit("core"), "right")), "repeat-pieces")
+    # All windows go of a content in several places and of a piece in several contents; the suffix arrays find the rest.
+    whole = contents.where("n > 1").select("c1", "c2", F.lit(0).cast("long").alias("low"), F.lit(None).cast("long").alias("high"))
+    counts = cut.groupBy("core", "piece").agg(
+        F.count("*").alias("n"), F.first(F.octet_length("left") + F.octet_length("right") + 1 - BLOCK).alias("last"))
+    shared = counts.where("n > 1").select(
+        "core", "piece", F.lit(0).cast("long").alias("low"), F.col("last").cast("long").alias("high"))
+    some = cut.select("c1", "c2", "w", "core", "piece").join(shared.union(contested(cut)), ["core", "piece"]).select(
+        "c1", "c2", (F.col("w") + F.col("low")).alias("low"), (F.col("w") + F.col("high")).alias("high"))
+    parts = whole.union(some).groupBy("c1", "c2").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    return (
+        found.select("doc_id", "text_key", "s", "e", "c1", "c2").join(parts, ["c1", "c2"])
+        .select("doc_id", "text_key", F.transform("parts", lambda p: F.struct(
+            (F.col("s") + p["low"]).alias("s"),
+            (F.coalesce(F.col("s") + p["high"], F.col("e")) + width).alias("end"))).alias("spans"))
+        .groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
 
 
 def without_repeats(documents: DataFrame, width: int = 400, keep_text: bool = False) -> DataFrame:
