@@ -227,13 +227,16 @@ def repeated_spans(documents: DataFrame, width: int) -> DataFrame:
         "core", "piece", F.lit(0).cast("long").alias("low"), F.col("last").cast("long").alias("high"))
     some = cut.select("c1", "c2", "w", "core", "piece").join(shared.union(contested(cut)), ["core", "piece"]).select(
         "c1", "c2", (F.col("w") + F.col("low")).alias("low"), (F.col("w") + F.col("high")).alias("high"))
-    parts = whole.union(some).groupBy("c1", "c2").agg(F.collect_set(F.struct("low", "high")).alias("parts"))
+    parts = whole.union(some).groupBy("c1", "c2").agg(
+        F.bool_or(F.col("high").isNull()).alias("all"), F.collect_set(F.struct("low", "high")).alias("parts"),
+    ).select("c1", "c2", F.when(F.col("all"), F.filter("parts", lambda p: p["high"].isNull())).otherwise(
+        F.col("parts")).alias("parts"))
     return (
         found.select("doc_id", "text_key", "s", "e", "c1", "c2").join(parts, ["c1", "c2"])
         .select("doc_id", "text_key", F.transform("parts", lambda p: F.struct(
             (F.col("s") + p["low"]).alias("s"),
             (F.coalesce(F.col("s") + p["high"], F.col("e")) + width).alias("end"))).alias("spans"))
-        .groupBy("doc_id", "text_key").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
+        .groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
 
 
 def without_repeats(documents: DataFrame, width: int = 400, keep_text: bool = False) -> DataFrame:
