@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from liftgauge.params import ALL, Cohort
 
 ARM_KEYS = ["arm"]
-GRID_KEYS = ["promo_choice", "initiative_choice"]
-SALTS = 64
+# The flag keeps the wildcard apart from an initiative that happens to be called All.
+GRID_KEYS = ["promo_choice", "initiative_choice", "any_initiative"]
 
 
 def in_cohort(labelled: DataFrame, cohort: Cohort) -> DataFrame:
@@ -27,9 +27,10 @@ def assign_arms(rows: DataFrame, arms: Mapping[str, Cohort]) -> DataFrame:
 def assign_all_cohorts(rows: DataFrame) -> DataFrame:
     """Rows of every cohort a user can choose: each segment or All, with each initiative or All."""
     choice = [
-        F.struct(promo.alias("promo_choice"), initiative.alias("initiative_choice"))
+        F.struct(
+            promo.alias("promo_choice"), initiative.alias("initiative_choice"), F.lit(wildcard).alias("any_initiative"))
         for promo in (F.col("Promo_Segment"), F.lit(ALL))
-        for initiative in (F.col("Initiative"), F.lit(ALL))
+        for initiative, wildcard in ((F.col("Initiative"), False), (F.lit(ALL), True))
     ]
     return rows.withColumn("_choice", F.explode(F.array(*choice))).select("*", "_choice.*").drop("_choice")
 
@@ -39,11 +40,13 @@ def join_group_values(
 ) -> DataFrame:
     """Give each row the values of its group.
 
-    A handful of groups is broadcast. Otherwise both sides are shuffled, with the rows of each
-    group spread over `SALTS` partitions, since one group may hold most of them.
+    Where the caller vouches for a handful of groups they are broadcast. Otherwise the join is left to Spark, with the
+    rows of each group spread over as many salts as there are shuffle partitions, since one group may
+    hold most of them.
     """
     if few_groups:
         return rows.join(F.broadcast(values), keys)
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
-    salted_values = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
+    salted_values = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted_rows.join(salted_values, [*keys, "_salt"]).drop("_salt")

@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ALL = "All"
+# The first day of the month, by which stored facts are partitioned.
+FACTS_MONTH = "Facts_Month"
 
 # Labels written into the result tables.
 PRE, POST, OUT = "Pre", "Post", "Out"

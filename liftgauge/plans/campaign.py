@@ -17,17 +17,25 @@ from liftgauge.operators.labels import label, mark, with_period
 from liftgauge.operators.reports import FROM_CUSTOMERS, combine_tests, formatted, share_range, shares
 from liftgauge.operators.significance import customer_pairs, customer_tests, day_pairs, day_tests
 from liftgauge.operators.synthetic import synthetic_customers, synthetic_days
-from liftgauge.params import CONTROL, DEFAULT_ARMS, DEFAULT_PERIODS, TEST, Cohort, Metrics, Periods, Window
+from liftgauge.params import (
+    CONTROL,
+    DEFAULT_ARMS,
+    DEFAULT_PERIODS,
+    FACTS_MONTH,
+    TEST,
+    Cohort,
+    Metrics,
+    Periods,
+    Window,
+)
 from liftgauge.session import written
 
-FEW_INITIATIVES = 10_000
-
 
 class Campaign:
-    """Every table is a lazy DataFrame; nothing but table sizes comes to the driver.
+    """Tables are DataFrames; nothing but table sizes comes to the driver.
 
-    With `keep=True` the labelled facts are written once to the shared folder. Turn it off where
-    only one table is wanted.
+    With `keep=True` the labelled facts are written once to the shared folder, by a job that runs when they are first
+    asked for. Turn it off where only one table is wanted. The synthetic control counts its cohorts in a job as well.
     """
 
     def __init__(
@@ -41,10 +49,43 @@ class Campaign:
     ):
         self.sales, self.initiatives = sales, initiatives
         self.periods, self.arms, self.metrics, self.keep = periods, dict(arms), metrics, keep
+        self.stored: DataFrame | None = None
+
+    @classmethod
+    def from_daily(
+        cls,
+        daily: DataFrame,
+        initiatives: DataFrame,
+        periods: Periods = DEFAULT_PERIODS,
+        arms: Mapping[str, Cohort] = DEFAULT_ARMS,
+        metrics: Metrics = Metrics(),
+        keep: bool = True,
+    ) -> Campaign:
+        """An analysis of customer-day facts, stored with `save_daily_bucketed` or not; sales lines are not read."""
+        campaign = cls(None, initiatives, periods, arms, metrics, keep)
+        campaign.stored = daily
+        return campaign
+
+    def with_periods(self, periods: Periods) -> Campaign:
+        """The same facts and arms in other periods."""
+        other = Campaign(self.sales, self.initiatives, periods, self.arms, self.metrics, self.keep)
+        other.stored = self.stored
+        return other
+
+    def with_arms(self, arms: Mapping[str, Cohort]) -> Campaign:
+        """Other arms in the same periods; labelled facts, customer features and the day cube are shared."""
+        other = self.with_periods(self.periods)
+        other.arms = dict(arms)
+        for shared in ("daily", "labelled", "marked", "customers", "cube"):
+            # A cached property is filled in by its first use; what no arm changes is worked out here once.
+            other.__dict__[shared] = getattr(self, shared)
+        return other
 
     @cached_property
     def daily(self) -> DataFrame:
         """Customer-day facts of all days."""
+        if self.stored is not None:
+            return self.stored.drop(FACTS_MONTH)
         return daily_facts(self.sales, self.metrics)
 
     @cached_property
@@ -53,7 +94,13 @@ class Campaign:
         return label(self.daily, self.initiatives, self.periods)
 
     def _facts_within(self, days: Window) -> DataFrame:
-        """Facts of some days only; the bound reaches the scan."""
+        """Facts of some days only; the bound reaches the scan, as a choice of months where facts are stored by month."""
+        if self.stored is not None:
+            facts = self.stored
+            if FACTS_MONTH in facts.columns:
+                facts = facts.where(F.col(FACTS_MONTH).between(
+                    F.lit(days.start.replace(day=1)), F.lit(days.end.replace(day=1)))).drop(FACTS_MONTH)
+            return facts.where(days.contains(F.col("Transaction_Date")))
         return daily_facts(self.sales.where(days.contains(F.col("Transaction_Date"))), self.metrics)
 
     @cached_property
@@ -129,9 +176,7 @@ class Campaign:
     @cached_property
     def customer_grid(self) -> DataFrame:
         """The customer test table of every cohort that can be chosen."""
-        initiatives = self.initiatives.select("Initiative").distinct().limit(FEW_INITIATIVES + 1).count()
-        few = initiatives <= FEW_INITIATIVES
-        return customer_tests(assign_all_cohorts(self.customers), GRID_KEYS, self.metrics, few)
+        return customer_tests(assign_all_cohorts(self.customers), GRID_KEYS, self.metrics)
 
     @cached_property
     def synthetic_days(self) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +31,41 @@ ORDER_TABLES = {
 }
 
 
+def _strict(name: str, parsed: Column) -> Column:
+    """`parsed`, where a text that is there but does not parse fails the job."""
+    text = F.col(name)
+    refused = F.raise_error(F.concat(F.lit(f"{name} does not parse: "), text))
+    return F.coalesce(parsed, F.when(text.isNotNull(), refused)).alias(name)
+
+
+def _csv_by_header(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The schema's columns as text, found by their names in the header; further columns are not read.
+
+    All files of a folder must have the same header; one that differs fails the job.
+    """
+    lines = spark.read.options(header=True, enforceSchema=False, mode="FAILFAST").csv(path)
+    absent = [name for name in schema.fieldNames() if name not in lines.columns]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}; its header is {', '.join(lines.columns)}")
+    return lines.select(*schema.fieldNames())
+
+
+def _typed(field: T.StructField) -> Column:
+    if isinstance(field.dataType, T.StringType):
+        return F.col(field.name)
+    return _strict(field.name, F.col(field.name).try_cast(field.dataType))
+
+
 def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Sales lines from CSV; a date that does not parse fails the job."""
-    lines = spark.read.schema(SALES_CSV).option("header", True).option("mode", "FAILFAST").csv(path)
-    return lines.withColumn("Transaction_Date", F.to_date("Transaction_Date", CSV_DATE))
+    """Sales lines from CSV, columns by header name; a number or date that does not parse fails the job."""
+    lines = _csv_by_header(spark, path, SALES_CSV)
+    day = _strict("Transaction_Date", F.try_to_date("Transaction_Date", CSV_DATE))
+    return lines.select(*(day if f.name == "Transaction_Date" else _typed(f) for f in SALES_CSV))
 
 
 def read_initiatives_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(INITIATIVES_CSV).option("header", True).option("mode", "FAILFAST").csv(path)
+    """Initiatives from CSV, columns by header name."""
+    return _csv_by_header(spark, path, INITIATIVES_CSV).select(*map(_typed, INITIATIVES_CSV))
 
 
 def read_sales_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -88,6 +88,15 @@ def test_all_cohorts_hold_each_row_four_times(labelled):
     assert grid.where("promo_choice = 'All' AND initiative_choice = 'All'").count() == labelled.count()
 
 
+def test_an_initiative_called_all_is_not_the_wildcard(spark):
+    rows = spark.createDataFrame([(1, "Promo", "All"), (2, "Promo", "NoInitiative")], "CustomerID int, Promo_Segment string, Initiative string")
+    grid = assign_all_cohorts(rows)
+    wild = grid.where("promo_choice = 'All' AND initiative_choice = 'All' AND any_initiative")
+    named = grid.where("promo_choice = 'All' AND initiative_choice = 'All' AND NOT any_initiative")
+    assert sorted(r.CustomerID for r in wild.collect()) == [1, 2]
+    assert [r.CustomerID for r in named.collect()] == [1]
+
+
 def test_salted_join_gives_the_same_rows(labelled):
     values = labelled.groupBy("Promo_Segment").count()
     few = join_group_values(labelled, values, ["Promo_Segment"], "CustomerID", True)

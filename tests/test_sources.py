@@ -19,6 +19,35 @@ def test_csv(spark, tmp_path):
     assert read_initiatives_csv(spark, str(tmp_path / "init.csv")).first().CustomerID == 12347
 
 
+def test_csv_columns_are_found_by_name(spark, tmp_path):
+    lines = [(17850, "16679", "1/1/2019", "Bags", 2.0, 99.5, "Used")]
+    shuffled = "Avg_Price,Product_SKU,Quantity,CustomerID,Coupon_Status,Transaction_Date,Transaction_ID,Product_Category\n"
+    for name, mark in (("plain", ""), ("marked", "\ufeff")):
+        path = tmp_path / f"{name}.csv"
+        path.write_text(mark + shuffled + "99.5,x,2,17850,Used,1/1/2019,16679,Bags\n", encoding="utf-8")
+        row = read_sales_csv(spark, str(path)).first()
+        assert (row.CustomerID, row.Transaction_ID, row.Quantity, row.Avg_Price) == (17850, "16679", 2.0, 99.5)
+        assert row.Transaction_Date.isoformat() == "2019-01-01" and len(row) == len(lines[0])
+
+
+def test_csv_refuses_a_missing_column_and_bad_numbers(spark, tmp_path):
+    (tmp_path / "short.csv").write_text("CustomerID,Name\n1,x\n")
+    with pytest.raises(ValueError, match="no column Initiative"):
+        read_initiatives_csv(spark, str(tmp_path / "short.csv"))
+    (tmp_path / "bad.csv").write_text(HEADER + "1,a,1/1/2019,Bags,two,1,Used\n")
+    with pytest.raises(PySparkException):
+        read_sales_csv(spark, str(tmp_path / "bad.csv")).collect()
+
+
+def test_csv_refuses_files_with_different_headers(spark, tmp_path):
+    folder = tmp_path / "init"
+    folder.mkdir()
+    (folder / "a.csv").write_text("CustomerID,Initiative\n1,x\n")
+    (folder / "b.csv").write_text("Initiative,CustomerID\nx,2\n")
+    with pytest.raises(Exception, match="header"):
+        read_initiatives_csv(spark, str(folder)).collect()
+
+
 def test_a_bad_date_fails_and_can_be_counted(spark, tmp_path):
     path = tmp_path / "sales.csv"
     path.write_text(HEADER + "1,a,2019-01-01,Bags,1,1,Used\n1,b,01/02/2019,Bags,1,1,Used\n1,c,,Bags,1,1,Used\n")
@@ -69,3 +98,22 @@ def test_bucketed_facts_are_not_shuffled_by_customer_again(spark, sales, metrics
     # only the small initiatives table is shuffled, if anything
     assert len(shuffles) <= 1
     spark.sql("DROP TABLE daily_bucketed_test")
+
+
+def test_an_analysis_of_stored_facts_reads_the_months_of_its_span(spark, sales, metrics, initiatives, tmp_path):
+    from liftgauge.params import Cohort, Periods
+    from liftgauge.plans.campaign import Campaign
+
+    lines = sales([(c, f"t{c}{m}", f"2019-0{m}-05", "Bags", 1.0, 2.0, "Used") for c in range(9) for m in range(1, 7)])
+    kept = save_daily_bucketed(daily_facts(lines, metrics), "daily_months_test", str(tmp_path / "daily"), buckets=2)
+    periods = Periods.of("2019-02-01", "2019-02-28", "2019-03-01", "2019-03-31")
+    arms = {"test": Cohort(), "control": Cohort("Promo")}
+    stored = Campaign.from_daily(kept, initiatives(1, 2), periods, arms, metrics, keep=False)
+    plan = stored.marked._jdf.queryExecution().executedPlan().toString()
+    scan = next(line for line in plan.splitlines() if "PartitionFilters" in line and "Facts_Month" in line)
+    assert "Facts_Month" in scan and "2019-02-01" in scan and "2019-03-01" in scan
+    raw = Campaign(lines, initiatives(1, 2), periods, arms, metrics, keep=False)
+    assert sorted(stored.result.collect(), key=str) == sorted(raw.result.collect(), key=str)
+    other = stored.with_arms({"test": Cohort("Promo"), "control": Cohort()})
+    assert other.cube is stored.cube and other.result.count() == raw.result.count()
+    spark.sql("DROP TABLE daily_months_test")

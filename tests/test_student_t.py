@@ -16,14 +16,16 @@ def by_integration(t, v):
     return 2 * scale * (end - start) / 2 * float(np.sum(weights * np.exp(logs)))
 
 
-CASES = [(t, v) for v in (1, 2, 3, 4, 5, 6, 29, 30, 91, 365, 999, 1000, 1001, 2500, 100_000)
+CASES = [(t, v) for v in (1, 2, 3, 4, 5, 6, 29, 30, 91, 365, 999, 1000, 1001, 1002, 2500, 100_000, 1_000_000)
          for t in (0.0, 0.01, 0.7, -1.0, 1.96, 2.0, -2.5, 3.3, 6.0)]
 
 
 def test_against_numeric_integration(spark):
     rows = spark.createDataFrame(CASES, "t double, v long")
     for r in with_two_sided_p(rows, "t", "v").collect():
-        assert r.p_value == pytest.approx(by_integration(r.t, r.v), abs=2e-10), (r.t, r.v)
+        # The two lgamma of the integration's scale differ by far less than they are large, which costs it digits.
+        assert r.p_value == pytest.approx(by_integration(r.t, r.v), abs=max(2e-10, r.v * 1e-15)), (r.t, r.v)
+        assert r.t != 0 or r.p_value == 1
 
 
 def test_known_value(spark):
