@@ -96,11 +96,16 @@ def judged(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     within = F.lit(True)
     for name, ratio in _ratios().items():
         within = within & F.coalesce(ratio <= F.col(f"{name}_limit"), F.lit(True))
+    # One source may hold any share of the rows, so its limits are met in as many places as there are shuffle
+    # partitions. A row's place counts up within its scan task, which a task run again repeats.
+    salts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    place = F.pmod(F.monotonically_increasing_id(), F.lit(salts)).cast("int")
     return (
-        measured.withColumns({"_lang": _group("lang"), "_source": _group("source")})
-        .join(limits, ["_lang", "_source"], "left")
+        measured.withColumns({"_lang": _group("lang"), "_source": _group("source"), "_salt": place})
+        .join(salted, ["_lang", "_source", "_salt"], "left")
         .withColumn("kept", ~F.col("base_failed") & within)
-        .drop("_lang", "_source", *(f"{r}_limit" for r in LEAST_SPREAD))
+        .drop("_lang", "_source", "_salt", *(f"{r}_limit" for r in LEAST_SPREAD))
     )
 
 
