@@ -20,6 +20,14 @@ CACHED_CHUNK = 64
 CACHE_ENTRIES = 1 << 18
 
 
+def _keep(cache: dict[str, tuple[int, ...]], text: str, ids: tuple[int, ...]) -> None:
+    """Remember the ids of a short text; a full cache starts over."""
+    if len(text) <= CACHED_CHUNK:
+        if len(cache) >= CACHE_ENTRIES:
+            cache.clear()
+        cache[text] = ids
+
+
 class PieceCodec:
     """Encodes with the vocabulary of a model file.
 
@@ -39,6 +47,7 @@ class PieceCodec:
         self.id = {piece: i for i, piece in self.piece.items()}
         self.score = {piece: lib.get_score(i) for i, piece in self.piece.items()}
         self.single = {c for piece in self.id for c in piece}
+        self.beside = {piece[k:k + 2] for piece in self.id for k in range(len(piece) - 1)}
         if any(re.search(f"[^{SPACE}]{SPACE}", piece) for piece in self.id) or self.single - self.id.keys():
             raise ValueError("a vocabulary with pieces over several words, or characters without a piece, is not read")
         self.words = ahocorasick.Automaton()
@@ -48,6 +57,7 @@ class PieceCodec:
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for p in self.id}
         self._pairs: dict[tuple[str, str], bool] = {}
         self._chunks: dict[str, tuple[int, ...]] = {}
+        self._parts: dict[str, tuple[int, ...]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Plain merging: the adjacent pair with the best piece first, the leftmost of equals."""
@@ -96,16 +106,20 @@ class PieceCodec:
                 # The same piece ends at the failed place, so the next round shortens it.
 
     def _encoded(self, chunk: str) -> tuple[int, ...]:
+        """Ids of a chunk, cut between any two characters that no piece has side by side: no merge crosses there."""
         ids: list[int] = []
         start = 0
-        for i, c in enumerate(chunk + "\0"):
-            if i < len(chunk) and c in self.single:
+        for i in range(1, len(chunk) + 1):
+            if chunk[i - 1:i + 1] in self.beside and i < len(chunk):
                 continue
-            if i > start:
-                ids += [self.id[p] for p in self.pieces(chunk[start:i])]
-            if i < len(chunk):
-                ids += [self.bytes[b] for b in c.encode()]
-            start = i + 1
+            part, start = chunk[start:i], i
+            known = self._parts.get(part)
+            if known is None:
+                # A character without a piece stands beside no other, so it is a part of its own.
+                known = tuple(map(self.id.__getitem__, self.pieces(part))) if part[0] in self.single else tuple(
+                    map(self.bytes.__getitem__, part.encode()))
+                _keep(self._parts, part, known)
+            ids += known
         return tuple(ids)
 
     def encode(self, text: str) -> list[int]:
@@ -117,10 +131,7 @@ class PieceCodec:
             known = self._chunks.get(chunk)
             if known is None:
                 known = self._encoded(chunk)
-                if len(chunk) <= CACHED_CHUNK:
-                    if len(self._chunks) >= CACHE_ENTRIES:
-                        self._chunks.clear()
-                    self._chunks[chunk] = known
+                _keep(self._chunks, chunk, known)
             ids += known
         return ids
 
