@@ -55,6 +55,7 @@ class PieceCodec:
             self.words.add_word(piece, len(piece))
         self.words.make_automaton()
         self.shorter = {p: next((p[:k] for k in range(len(p) - 1, 0, -1) if p[:k] in self.id), None) for p in self.id}
+        self.written = list(map(str, range(n)))
         self._pairs: dict[tuple[str, str], bool] = {}
         self._chunks: dict[str, tuple[int, ...]] = {}
         self._parts: dict[str, tuple[int, ...]] = {}
@@ -168,7 +169,7 @@ def encoded(documents: DataFrame, model: str | None = None, keep_ids: bool = Fal
             for text in batch.column("text"):
                 ids = coder.encode(text.as_py() or "")
                 decoded = coder.decode(ids)
-                row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                row = (len(ids), hashlib.sha256(",".join(map(coder.written.__getitem__, ids)).encode()).hexdigest(),
                        hashlib.sha256(decoded.encode()).hexdigest(), ids if keep_ids else None, decoded if keep_ids else None)
                 for column, value in zip(columns, row, strict=True):
                     column.append(value)
