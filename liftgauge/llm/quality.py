@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 from liftgauge.session import written
 
 ACCURACY = 2000
-SPREADS = 8.0
-LEAST_SPREAD = {"symbol_ratio": 0.025, "dup_line_ratio": 0.05, "word_length": 0.5}
+QUANTILES = [0.25, 0.5, 0.75, 0.9]
+SPREADS = 4.0
+#: A group of fewer texts has no spread of its own.
+LEAST_TEXTS = 100
+#: Where neither quartiles nor the upper tenth of a group, its language or the corpus differ.
+LEAST_SPREAD = {"symbol_ratio": 0.005, "dup_line_ratio": 0.04, "word_length": 0.05}
 SPACE = r"[\x20\x09-\x0D]"
 
 #: The array is bound as a lambda's variable, so that looking up an element does not build the array again.
@@ -57,10 +61,14 @@ def with_measures(documents: DataFrame) -> DataFrame:
         "base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def _ratios() -> dict[str, Column]:
+def _ratios(free: int = 0) -> dict[str, Column]:
+    """The judged ratios; of counted signs and lines `free` are not counted."""
+    def share(count: str, of: str) -> Column:
+        return F.try_divide(F.greatest(F.col(count) - free, F.lit(0)), F.col(of))
+
     return {
-        "symbol_ratio": F.try_divide(F.col("n_symbols"), F.col("word_chars")),
-        "dup_line_ratio": F.try_divide(F.col("n_dup_lines"), F.col("n_lines")),
+        "symbol_ratio": share("n_symbols", "word_chars"),
+        "dup_line_ratio": share("n_dup_lines", "n_lines"),
         "word_length": F.try_divide(F.col("word_chars"), F.col("n_words")),
     }
 
@@ -70,23 +78,51 @@ def _group(name: str) -> Column:
 
 
 def thresholds(measured: DataFrame) -> DataFrame:
-    """Upper limits of each language and source, from quantile sketches that merge.
-
-    Every task sketches its own rows and only sketches are shuffled, so one source may hold any share. A limit is the upper quartile
-    plus SPREADS times the spread between quartiles, at least LEAST_SPREAD, so that groups of nearly equal
-    texts do not reject what differs by a hair.
+    """Lower and upper limits of each language and source, from quantile sketches that merge.
+
+    Every task sketches its own rows and only sketches are shuffled, so one source may hold any share. Texts that
+    fail the base rules say nothing about the others and are not sketched. A limit is a quartile and SPREADS times
+    the spread away. The spread is that between quartiles, of the group, else of its language, else of the
+    corpus, whichever has LEAST_TEXTS texts and is not 0; then that from the median to the upper tenth in the
+    same order; LEAST_SPREAD last, so that groups of nearly equal texts do not reject what differs by a hair.
+    `usual_words` is the middle number of words, `word_length_spread` the distance of its limits from the quartiles.
     """
-    sketches = measured.withColumns({**_ratios(), "_lang": _group("lang"), "_source": _group("source")}).groupBy(
-        "_lang", "_source",
-    ).agg(*(F.percentile_approx(r, [0.25, 0.75], ACCURACY).alias(r) for r in LEAST_SPREAD))
-    return sketches.select("_lang", "_source", *(
-        (F.col(r)[1] + SPREADS * F.greatest(F.col(r)[1] - F.col(r)[0], F.lit(least))).alias(f"{r}_limit")
-        for r, least in LEAST_SPREAD.items()))
+    rows = measured.withColumns({**_ratios(), "_lang": _group("lang"), "_source": _group("source")})
+
+    def sketched(level: str, *keys: str) -> DataFrame:
+        good = lambda x: F.when(~F.col("base_failed"), x)
+        return rows.groupBy(*keys).agg(
+            F.count(good(F.lit(1))).alias(f"{level}_texts"),
+            F.percentile_approx(good(F.col("n_words")), 0.5, ACCURACY).alias(f"{level}_words"),
+            *(F.percentile_approx(good(F.col(r)), QUANTILES, ACCURACY).alias(f"{level}_{r}") for r in LEAST_SPREAD))
+
+    levels = ("group", "language", "corpus")
+    merged = (
+        sketched("group", "_lang", "_source").join(sketched("language", "_lang"), "_lang")
+        .crossJoin(F.broadcast(sketched("corpus"))))
+
+    def known(what: str) -> list[Column]:
+        return [F.when((F.col(f"{level}_texts") >= LEAST_TEXTS) | F.lit(level == "corpus"), F.col(f"{level}_{what}"))
+                for level in levels]
+
+    def limits(ratio: str, least: float) -> list[Column]:
+        sketches = known(ratio)
+        steps = [F.nullif(q[high] - q[low], F.lit(0.0)) for low, high in ((0, 2), (1, 3)) for q in sketches]
+        spread = SPREADS * F.greatest(F.coalesce(*steps, F.lit(least)), F.lit(least))
+        quartiles = F.coalesce(*sketches)
+        return [(quartiles[0] - spread).alias(f"{ratio}_least"), (quartiles[2] + spread).alias(f"{ratio}_limit"),
+                spread.alias(f"{ratio}_spread")]
+
+    return merged.select(
+        "_lang", "_source", F.coalesce(*known("words")).alias("usual_words"),
+        *(x for r, least in LEAST_SPREAD.items() for x in limits(r, least)))
 
 
 def judged(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     """All columns of `documents`, the measures and `kept`; a text within all limits of its group is kept.
 
+    One sign or repeated line is chance in a short text, so the first of each is not counted against it. The mean
+    word length of n words scatters as 1 / sqrt(n), so its limits are wider for texts with fewer words than usual.
     Null languages and sources are groups of their own. `documents` needs text, lang and source; its own columns
     named like a measure are replaced. The measured table is written once and read for sketches and verdicts.
     """
@@ -94,8 +130,12 @@ def judged(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     measured = written(measures if keep_text else measures.drop("text"), "quality-measures")
     limits = thresholds(measured)
     within = F.lit(True)
-    for name, ratio in _ratios().items():
-        within = within & F.coalesce(ratio <= F.col(f"{name}_limit"), F.lit(True))
+    scatter = F.greatest(F.lit(1.0), F.sqrt(F.try_divide(F.col("usual_words"), F.col("n_words")))) - 1
+    wider = {"word_length": F.coalesce(F.col("word_length_spread") * scatter, F.lit(0.0))}
+    for name, ratio in _ratios(free=1).items():
+        more = wider.get(name, F.lit(0.0))
+        inside = ratio.between(F.col(f"{name}_least") - more, F.col(f"{name}_limit") + more)
+        within = within & F.coalesce(inside, F.lit(True))
     # One source may hold any share of the rows, so its limits are met in as many places as there are shuffle
     # partitions. A row's place counts up within its scan task, which a task run again repeats.
     salts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -105,7 +145,8 @@ def judged(documents: DataFrame, keep_text: bool = True) -> DataFrame:
         measured.withColumns({"_lang": _group("lang"), "_source": _group("source"), "_salt": place})
         .join(salted, ["_lang", "_source", "_salt"], "left")
         .withColumn("kept", ~F.col("base_failed") & within)
-        .drop("_lang", "_source", "_salt", *(f"{r}_limit" for r in LEAST_SPREAD))
+        .drop("_lang", "_source", "_salt", "usual_words",
+              *(f"{r}_{end}" for r in LEAST_SPREAD for end in ("least", "limit", "spread")))
     )
 
 

@@ -243,3 +243,17 @@ def test_registered_and_pipeline(spark):
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").collect()
     assert rows and len({r.doc_id for r in rows}) == len(rows)
+
+
+def test_quality_limits_follow_the_data(spark):
+    folder = "/root/testdata/sf0.01"
+    labels, documents = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("labels", "documents"))
+    measured = quality.quality_table(documents).join(labels, "doc_id", "left").where("NOT base_failed").collect()
+    clean = [r.kept for r in measured if r.quality == 1 and r.toxic == 0]
+    tables = [r.kept for r in measured if 0.05 < r.n_symbols / r.word_chars < 0.15 and r.n_symbols > 2]
+    assert len(clean) > 200 and sum(clean) >= 0.995 * len(clean)
+    assert len(tables) > 20 and sum(tables) <= 0.05 * len(tables)
+    # A source in which signs are usual keeps them.
+    usual = [(i, " ".join(["cost", f"${i}", *sentence(20 + i % 30).split()[i % 9:]]) + " $" * (i % 4), "en", "s") for i in range(400)]
+    kept = by_id(quality.quality_table(spark.createDataFrame(usual, "doc_id long, text string, lang string, source string")))
+    assert sum(r.kept for r in kept.values()) > 390
