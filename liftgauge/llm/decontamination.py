@@ -155,8 +155,13 @@ def contamination(documents: DataFrame, items: DataFrame, window: int = 10) -> D
         hits.select(*key, "words").distinct().join(windows.select("item_id", "words"), "words")
         .select(*key, F.col("item_id").cast("string").alias("item")).distinct()
         .groupBy(*key).agg(F.sort_array(F.collect_list("item")).alias("items")))
-    result = hit_words.join(hit_items, key).select(
-        F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "n_hit", "items")
+    # A grouping takes null ids as equal, which a join on the names would not.
+    none = F.lit(None)
+    result = (
+        hit_words.select(*key, "n_hit", none.cast("array<string>").alias("items"))
+        .unionByName(hit_items.select(*key, none.cast("long").alias("n_hit"), "items"))
+        .groupBy(*key).agg(F.max("n_hit").alias("n_hit"), F.max("items").alias("items"))
+        .select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), "n_hit", "items"))
     return found.where("h IS NULL").join(
         result, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left",
     ).select(

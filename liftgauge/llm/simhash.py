@@ -190,6 +190,18 @@ def components(links: DataFrame) -> DataFrame:
             small.union(down.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "stars")
 
 
+def grouped(documents: DataFrame, distance: int = 2) -> DataFrame:
+    """doc_id, text_key, fp, root, component_id for every row; rows of one group have one root."""
+    prints = written(fingerprints(documents), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    linked = components(star_links(nodes, distance))
+    named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root"))
+    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    labels = named.select("fp", "root").join(names, "root").select("fp", "root", "component_id")
+    return prints.join(labels, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
+
+
 def near_copies(documents: DataFrame, distance: int = 2) -> DataFrame:
     """doc_id, text_key, fingerprint, component_id for every row.
 
@@ -198,25 +210,22 @@ def near_copies(documents: DataFrame, distance: int = 2) -> DataFrame:
     are one node of the search, so copies cost one row each. A component of null ids only has a null name.
     Repeated rows keep a row each; an empty table gives none.
     """
-    prints = written(fingerprints(documents), "fingerprints")
-    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    linked = components(star_links(nodes, distance))
-    named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    labels = named.select("fp", "root").join(names, "root").select("fp", "component_id")
-    return prints.join(labels, "fp").select(
+    return grouped(documents, distance).select(
         "doc_id", "text_key", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def first_of_each(documents: DataFrame, distance: int = 2) -> DataFrame:
     """One document of each group, that with the smallest id; repeated rows of it are one document.
 
-    Rows without an id can't be named and stay.
+    In a group without ids it is the text with the smallest key.
     """
-    keep = near_copies(documents, distance).where("doc_id = component_id").select(
+    rows = grouped(documents, distance)
+    named = rows.where("doc_id = component_id")
+    nameless = (
+        rows.where("component_id IS NULL").groupBy("root").agg(F.min("text_key").alias("text_key"))
+        .select(F.lit(None).cast("long").alias("doc_id"), "text_key"))
+    keep = named.select("doc_id", "text_key").unionByName(nameless).select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).distinct()
-    key = F.xxhash64(documents["text"])
-    named = documents.where("doc_id IS NOT NULL").withColumn("_own", key).dropDuplicates(["doc_id", "_own"])
-    kept = named.join(keep, (named["doc_id"] == F.col("_doc")) & (named["_own"] == F.col("_key")), "left_semi")
-    return kept.drop("_own").unionByName(documents.where("doc_id IS NULL"))
+    single = documents.withColumn("_own", F.xxhash64("text")).dropDuplicates(["doc_id", "_own"])
+    kept = single.join(keep, single["doc_id"].eqNullSafe(F.col("_doc")) & (single["_own"] == F.col("_key")), "left_semi")
+    return kept.drop("_own")

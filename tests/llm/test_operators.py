@@ -257,3 +257,18 @@ def test_quality_limits_follow_the_data(spark):
     usual = [(i, " ".join(["cost", f"${i}", *sentence(20 + i % 30).split()[i % 9:]]) + " $" * (i % 4), "en", "s") for i in range(400)]
     kept = by_id(quality.quality_table(spark.createDataFrame(usual, "doc_id long, text string, lang string, source string")))
     assert sum(r.kept for r in kept.values()) > 390
+
+
+def test_rows_without_an_id(spark):
+    schema = "doc_id long, text string"
+    near = " ".join(BASE[1].split()[::-1])
+    items = spark.createDataFrame([(1, BASE[0])], "item_id long, text string")
+    rows = [(None, BASE[0]), (None, BASE[0]), (None, near), (None, near), (7, near + " "), (None, BASE[3]), (None, BASE[3] + "\n"), (8, BASE[4])]
+    df = spark.createDataFrame(rows, schema).repartition(3)
+    found = [r for r in decontamination.contamination(df, items).collect() if r.contaminated]
+    assert [(r.doc_id, r.n_hit, r.n_items) for r in found] == [(None, 120, 1)] * 2
+    left = decontamination.without_contaminated(df, items).collect()
+    assert Counter(r.text for r in left) == Counter(t for _, t in rows if t != BASE[0])
+    firsts = simhash.first_of_each(df).collect()
+    assert sorted((r.doc_id or 0, r.text.split()) for r in firsts) == sorted(
+        [(0, BASE[0].split()), (7, near.split()), (0, BASE[3].split()), (8, BASE[4].split())])
