@@ -5,6 +5,8 @@ Native: DataFrame functions only.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,16 @@ SENTENCES = {
     9: "Redistribution and use in source and binary forms, with or without modification, are permitted",
     10: "Licensed under CC BY 4.0.",
     11: "Licensed under the Apache License, Version 2.0 (the License);",
+    12: "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General "
+        "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
+        "option) any later version.",
+    13: "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+        "documentation files (the Software), to deal in the Software without restriction, including without "
+        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following "
+        "conditions:",
+    14: "Redistribution and use in source and binary forms, with or without modification, are permitted provided that "
+        "the following conditions are met:",
 }
 RULES = (
     ("Apache-2.0", (1,)),
@@ -33,6 +45,9 @@ RULES = (
     ("CC-BY-NC-4.0", (8,)),
     ("BSD", (9,)),
     ("CC-BY-4.0", (10,)),
+    ("GPL-3.0-or-later", (12,)),
+    ("MIT", (13,)),
+    ("BSD", (14,)),
 )
 
 
@@ -42,23 +57,41 @@ def normalised(sentence: Column) -> Column:
     return F.trim(F.regexp_replace(plain, r"[^\p{L}\p{N}.]+", " "))
 
 
+EDGE, FOUND = "\x01", "\x02"
+
+
+def edged(text: Column) -> Column:
+    """The normal form of a whole text, with EDGE for a blank where a line or a sentence ends, and round it."""
+    plain = F.translate(F.lower(text), EDGE + FOUND, "  ")
+    plain = F.regexp_replace(plain, r"\n|[;:!?.](?=\s|$)", EDGE)
+    plain = F.regexp_replace(plain, r"(?<![0-9])\.|\.(?![0-9])", " ")
+    plain = F.regexp_replace(plain, rf"[^\p{{L}}\p{{N}}.{EDGE}]+", " ")
+    return F.concat(F.lit(EDGE), F.regexp_replace(plain, f" ?{EDGE}[ {EDGE}]*|^ | $", EDGE), F.lit(EDGE))
+
+
 def licence_sentences(documents: DataFrame, sentences: dict[int, str] = SENTENCES) -> DataFrame:
-    """(doc_id, at, sentence): the known sentences of every whole text in their order.
+    """(doc_id, text_key, at, sentence): the known sentences of every whole text in their order.
 
-    A sentence ends at a line's end, a semicolon, or a dot, `!` or `?` before white space; a line by itself is
-    looked up as well as its sentences. The known sentences are a fixed table of the code, so broadcasting
-    them is bounded.
+    A sentence begins and ends where a line or a sentence of the text does (a line's end, or a colon, semicolon,
+    dot, `!` or `?` before white space), and may be wrapped in any way between: lines and signs are blanks.
     """
     spark = documents.sparkSession
     known = spark.createDataFrame(list(sentences.items()), "sentence int, wording string").select(
-        "sentence", normalised(F.col("wording")).alias("norm")).distinct()
-    split = F.split(F.coalesce(F.col("text"), F.lit("")), r"\n|(?<=[;!?.])\s+")
-    pieces = documents.select("doc_id", F.xxhash64("text").alias("text_key"), F.posexplode(split).alias("at", "piece"))
-    return (
-        pieces.where(F.length("piece") <= max(map(len, sentences.values())) * 2 + 64)
-        .withColumn("norm", normalised(F.col("piece")))
-        .join(F.broadcast(known), "norm").select("doc_id", "text_key", "at", "sentence")
-    )
+        "sentence", normalised(F.col("wording")).alias("norm")).collect()
+    # The longer first, as a shorter one may be a line of it.
+    known = sorted(known, key=lambda r: -len(r["norm"]))
+    marked = documents.select(
+        "doc_id", F.xxhash64("text").alias("text_key"), edged(F.coalesce(F.col("text"), F.lit(""))).alias("marked"))
+    flat = F.translate("marked", EDGE, " ")
+    some = F.lit(False)
+    found = F.col("marked")
+    for row in known:
+        some = some | F.contains(flat, F.lit(row["norm"]))
+        words = f"[ {EDGE}]".join(re.escape(w) for w in row["norm"].split(" "))
+        found = F.regexp_replace(found, f"(?<={EDGE}){words}(?={EDGE})", f"{FOUND}{row['sentence']}{FOUND}")
+    ids = F.regexp_extract_all(found, F.lit(f"{FOUND}([0-9]+){FOUND}"), F.lit(1))
+    return marked.where(some).select("doc_id", "text_key", F.posexplode(ids).alias("at", "sentence")).withColumn(
+        "sentence", F.col("sentence").cast("int"))
 
 
 def scan_licences(documents: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:

@@ -6,6 +6,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter
 
 import numpy as np
@@ -272,3 +273,24 @@ def test_rows_without_an_id(spark):
     firsts = simhash.first_of_each(df).collect()
     assert sorted((r.doc_id or 0, r.text.split()) for r in firsts) == sorted(
         [(0, BASE[0].split()), (7, near.split()), (0, BASE[3].split()), (8, BASE[4].split())])
+
+
+def test_licences_as_they_are_found(spark):
+    mit, bsd, gpl = (licences.SENTENCES[i] for i in (13, 14, 12))
+    wrap = lambda text, head="": "\n".join(head + line for line in textwrap.wrap(text, 60))
+    cases = {
+        "Copyright (c) 2020 A. B.\n" + wrap(mit) + "\n\nThe above copyright notice": "MIT",
+        mit + " The above": "MIT",
+        wrap(bsd, " * ") + "\n * 1. Redistributions of": "BSD",
+        bsd + " 1. Redistributions": "BSD",
+        wrap(gpl, "# "): "GPL-3.0-or-later",
+        gpl + " This program is": "GPL-3.0-or-later",
+        "Some words. " + wrap('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except '
+                              "in compliance with the License.", "// "): "Apache-2.0",
+        "#" * 900 + " Released under the MIT License. " + "#" * 900: "MIT",
+        "This is not " + mit: "",
+        "This work is licensed under the GNU General Public License, version 3 or 4.": "",
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    found = by_id(licences.scan_licences(df))
+    assert [found[i].licences for i in range(len(cases))] == list(cases.values())
