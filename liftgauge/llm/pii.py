@@ -22,6 +22,8 @@ PATTERNS = {
 }
 TOKEN = re.compile(r"\S+")
 CHAIN_TOKENS = 4096
+#: Tokens that a chain shares with the next beyond its end, and with the one before.
+MARGIN = 256
 BATCH_CELLS = 1 << 16
 SHAPES_CACHED = 1 << 18
 
@@ -108,7 +110,7 @@ TAGS = ("O", *(f"{p}-{kind}" for kind in KINDS for p in "BI"))
 
 def shape(token: str) -> str:
     """Letters as x or X, digits as 9, other signs as they are; runs are cut after four."""
-    out = "".join("9" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in token[:64])
+    out = "".join("9" if c in "0123456789" else "X" if c.isupper() else "x" if c.isalpha() else c for c in token)
     return re.sub(r"(.)\1{4,}", r"\1\1\1\1", out)
 
 
@@ -244,17 +246,23 @@ def trained(rounds: int = 150, rate: float = 0.3, ridge: float = 0.02) -> Field:
     return Field(names, emit.astype(np.float32), move.astype(np.float32))
 
 
-def chains(text: str) -> Iterator[list[re.Match]]:
-    """Tokens of each line; a line of over CHAIN_TOKENS is cut into several chains, so that memory is bounded."""
+def chains(text: str, margin: int = MARGIN) -> Iterator[tuple[list[re.Match], int, int]]:
+    """(tokens, low, high) over each line: tokens and the places among them where its own spans begin.
+
+    A line of over CHAIN_TOKENS is decoded in several chains, so that memory is bounded. Each token belongs to one
+    chain, which also sees the `margin` tokens on both sides.
+    """
     for line in re.finditer(r"[^\n]+", text):
         held: list[re.Match] = []
+        low = 0
         for token in TOKEN.finditer(text, line.start(), line.end()):
             held.append(token)
-            if len(held) == CHAIN_TOKENS:
-                yield held
-                held = []
-        if held:
-            yield held
+            if len(held) == low + CHAIN_TOKENS + margin:
+                yield held, low, low + CHAIN_TOKENS
+                held = held[max(0, low + CHAIN_TOKENS - margin):]
+                low = len(held) - margin
+        if len(held) > low:
+            yield held, low, len(held)
 
 
 def believable(kind: str, body: str) -> bool:
@@ -280,18 +288,18 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
     where, scores, out = [], [], [[] for _ in texts]
 
     def flush() -> None:
-        for (n, tokens), tags in zip(where, field.decode(scores), strict=True):
+        for (n, tokens, low, high), tags in zip(where, field.decode(scores), strict=True):
             if tags.any():
-                out[n] += _spans(texts[n], tokens, tags)
+                out[n] += _spans(texts[n], tokens, tags, low, high)
         where.clear()
         scores.clear()
 
     held = 0
     for n, text in enumerate(texts):
-        for tokens in chains(text):
+        for tokens, low, high in chains(text):
             if not may_hold(text[tokens[0].start():tokens[-1].end()]):
                 continue
-            where.append((n, tokens))
+            where.append((n, tokens, low, high))
             scores.append(field.scores([t.group() for t in tokens]))
             held += len(tokens)
             if held >= BATCH_CELLS:
@@ -301,7 +309,8 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
     return out
 
 
-def _spans(text: str, tokens: list[re.Match], tags: np.ndarray) -> Iterator[tuple[str, int, int]]:
+def _spans(text: str, tokens: list[re.Match], tags: np.ndarray, low: int, high: int) -> Iterator[tuple[str, int, int]]:
+    """Believable spans that begin at the tokens from `low` to before `high`."""
     at = 0
     while at < len(tags):
         if not tags[at]:
@@ -311,6 +320,9 @@ def _spans(text: str, tokens: list[re.Match], tags: np.ndarray) -> Iterator[tupl
         last = at
         while last + 1 < len(tags) and TAGS[tags[last + 1]] == f"I-{kind}":
             last += 1
+        if not low <= at < high:
+            at = last + 1
+            continue
         start, end = tokens[at].start(), tokens[last].end()
         while start < end and not (text[start].isalnum() or text[start] in "+("):
             start += 1

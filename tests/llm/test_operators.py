@@ -294,3 +294,16 @@ def test_licences_as_they_are_found(spark):
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
     found = by_id(licences.scan_licences(df))
     assert [found[i].licences for i in range(len(cases))] == list(cases.values())
+
+
+def test_field_spans_across_chains():
+    field, n = pii.trained(), pii.CHAIN_TOKENS
+    for body in ("tel (212) 555-0199 for the front desk", "mail sam at mail dot example dot org today"):
+        alone = pii.field_spans(field, [body])[0]
+        assert alone
+        for cut in (n, 2 * n):
+            for before in range(cut - len(body.split()), cut + 1):
+                filler = "word " * before
+                text = filler + body + " word" * 3000
+                assert pii.field_spans(field, [text])[0] == [(k, s + len(filler), e + len(filler)) for k, s, e in alone]
+    assert pii.shape("a" * 70 + "-1") == "xxxx-9"
