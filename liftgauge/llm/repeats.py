@@ -17,6 +17,8 @@ from liftgauge.session import written
 GRAM = 32
 BLOCK = 64
 ARRAY_BYTES = 1 << 16
+#: Of one core in a suffix array; a core with more is counted window by window.
+CORE_PIECES = ARRAY_BYTES // (2 * BLOCK)
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _INVERSES = tuple(pow(b, -1, 1 << 64) for b in _BASES)
 
@@ -156,13 +158,41 @@ def repeated_starts(contents: list[str], width: int) -> list[list[int]]:
     return out
 
 
+def hot_cores(cut: DataFrame) -> DataFrame:
+    """The cores of over CORE_PIECES different pieces, so at most one for every CORE_PIECES pieces."""
+    return cut.select("core", "piece").distinct().groupBy("core").agg(F.count("*").alias("m")).where(
+        F.col("m") > CORE_PIECES).select("core")
+
+
+def counted(distinct: DataFrame) -> DataFrame:
+    """(core, piece, low, high) as `contested` says, by a count of every single window, so that any number of
+    pieces may share a core. A window is known by its place round the core and 128 bits of hash.
+    """
+    left, right = F.octet_length("left"), F.octet_length("right")
+    windows = distinct.withColumn("low", F.explode(F.sequence(F.lit(0), left + right + 1 - BLOCK))).withColumn(
+        "body", F.concat(F.expr("substring(left, low + 1)"),
+                         F.expr(f"substring(right, 1, low + {BLOCK - 1} - octet_length(left))")),
+    ).select(
+        "core", "piece", "low", F.xxhash64("core", left - F.col("low"), "body").alias("h1"),
+        F.xxhash64("body", left - F.col("low"), "core").alias("h2"))
+    several = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    starts = windows.join(several, ["h1", "h2"]).groupBy("core", "piece").agg(
+        F.sort_array(F.collect_set(F.col("low").cast("long"))).alias("at"))
+    edge = lambda step: F.filter("at", lambda x: ~F.array_contains("at", x + step))
+    return starts.select("core", "piece", F.explode(F.arrays_zip(edge(-1).alias("low"), edge(1).alias("high"))).alias("run")).select(
+        "core", "piece", "run.low", "run.high")
+
+
 def contested(cut: DataFrame) -> DataFrame:
     """(core, piece, low, high): runs of windows that are in several different pieces of one core.
 
-    In the strings that are sorted a core is one sign of its own, so a window is BLOCK signs long: the core
+    Suffix arrays find them, of at most CORE_PIECES pieces of one core; cores with more go to `counted`. In the strings that are sorted a core is one sign of its own, so a window is BLOCK signs long: the core
     and BLOCK - 1 bytes on both its sides together.
     """
-    distinct = cut.select("core", "piece", "left", "right").dropDuplicates(["core", "piece"])
+    rows = cut.select("core", "piece", "left", "right")
+    hot = F.broadcast(written(hot_cores(cut), "hot-cores"))
+    distinct = rows.join(hot, "core", "left_anti").dropDuplicates(["core", "piece"])
+    shared = rows.join(hot, "core", "left_semi").dropDuplicates(["core", "piece"])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -205,7 +235,7 @@ def contested(cut: DataFrame) -> DataFrame:
             yield solved()
 
     dealt = distinct.repartition("core").sortWithinPartitions("core").select("core", "piece", "left", "right")
-    return dealt.mapInArrow(work, "core binary, piece long, low long, high long")
+    return dealt.mapInArrow(work, "core binary, piece long, low long, high long").unionByName(counted(shared))
 
 
 def repeated_spans(documents: DataFrame, width: int) -> DataFrame:

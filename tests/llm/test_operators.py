@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -307,3 +308,25 @@ def test_field_spans_across_chains():
                 text = filler + body + " word" * 3000
                 assert pii.field_spans(field, [text])[0] == [(k, s + len(filler), e + len(filler)) for k, s, e in alone]
     assert pii.shape("a" * 70 + "-1") == "xxxx-9"
+
+
+def test_repeats_of_a_core_with_very_many_surroundings(spark):
+    passage = BASE[0].encode().decode()[:420]
+    texts = [f"{rnd.random()} {sentence(6)} {'ab'[i % 2] * (i % 9)}{passage}{'yz'[i % 2] * (i % 7)} {sentence(6)} {rnd.random()}"
+             for i in range(1400)]
+    raw = [t.encode() for t in texts]
+    seen = Counter(t[i:i + 400] for t in raw for i in range(len(t) - 399))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = by_id(repeats.without_repeats(df))
+    for doc, t in enumerate(raw):
+        gone = bytearray(len(t))
+        for i in range(len(t) - 399):
+            if seen[t[i:i + 400]] > 1:
+                gone[i:i + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        assert found[doc].kept_sha256 == hashlib.sha256(kept).hexdigest()
+    words = [(b"core", n, bytes([n % 5]) * 63, n.to_bytes(2, "big") * 4) for n in range(1, 3 * repeats.CORE_PIECES)]
+    cut = spark.createDataFrame(words, "core binary, piece long, left binary, right binary")
+    assert repeats.hot_cores(cut).count() == 1
+    few = cut.where(F.col("piece") < 40)
+    assert sorted(repeats.counted(few).collect()) == sorted(repeats.contested(few).collect()) != []
