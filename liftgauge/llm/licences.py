@@ -6,6 +6,7 @@ Native: DataFrame functions only.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,11 +83,11 @@ def licence_sentences(documents: DataFrame, sentences: dict[int, str] = SENTENCE
     known = sorted(known, key=lambda r: -len(r["norm"]))
     marked = documents.select(
         "doc_id", F.xxhash64("text").alias("text_key"), edged(F.coalesce(F.col("text"), F.lit(""))).alias("marked"))
-    flat = F.translate("marked", EDGE, " ")
-    some = F.lit(False)
+    # Bound as a lambda's variable, so that a filter makes the normal form once, not for every wording.
+    some = F.exists(F.array(F.translate("marked", EDGE, " ")), lambda body: reduce(
+        Column.__or__, (F.contains(body, F.lit(row["norm"])) for row in known), F.lit(False)))
     found = F.col("marked")
     for row in known:
-        some = some | F.contains(flat, F.lit(row["norm"]))
         words = f"[ {EDGE}]".join(re.escape(w) for w in row["norm"].split(" "))
         found = F.regexp_replace(found, f"(?<={EDGE}){words}(?={EDGE})", f"{FOUND}{row['sentence']}{FOUND}")
     ids = F.regexp_extract_all(found, F.lit(f"{FOUND}([0-9]+){FOUND}"), F.lit(1))
