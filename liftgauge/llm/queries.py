@@ -6,12 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from liftgauge.llm.decontamination import contamination
 from liftgauge.llm.licences import scan_licences
+from liftgauge.llm.oracle import ORACLE_SQL  # noqa: F401  for the entry module
 from liftgauge.llm.piece_codec import encoded
 from liftgauge.llm.pii import find_spans
 from liftgauge.llm.quality import quality_table
+from liftgauge.llm.ranked_search import ranked
 from liftgauge.llm.repeats import without_repeats
+from liftgauge.llm.resampling import resampled
 from liftgauge.llm.sharding import shard_table
 from liftgauge.llm.simhash import near_copies
+from liftgauge.llm.substring_dedup import without_repeated_passages
 from liftgauge.llm.tables import table
 from liftgauge.llm.url_filter import judge_urls, unwanted_hosts
 from liftgauge.llm.warc import archived
@@ -61,11 +65,20 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_copies(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+def op11_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op12_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return without_repeated_passages(table(spark, folder, "documents"))
+
+
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("n_words")
+
+
 QUERIES = {
     f.__name__: f
     for f in (op1_decontamination, op2_sharding, op3_pii, op4_url_filter, op5_sentencepiece, op6_warc,
-              op7_repeats, op8_licences, op9_quality, op10_simhash)
+              op7_repeats, op8_licences, op9_quality, op10_simhash, op11_ranked_search, op12_substring_dedup, op13_resampling)
 }
-
-# SQL for the queries that it can express.
-ORACLE_SQL = {}

@@ -11,6 +11,9 @@ SLICE_BYTES = 1 << 20
 
 _CODES = np.arange(256)
 LOWER = np.where((_CODES >= 65) & (_CODES <= 90), _CODES + 32, _CODES).astype(np.uint8)
+SAME = _CODES.astype(np.uint8)
+#: Bytes that are no ASCII white space (0x20, 0x09 to 0x0D).
+NOT_SPACE = ~((_CODES == 32) | ((_CODES >= 9) & (_CODES <= 13)))
 #: Bytes of [0-9a-z] and of every character beyond ASCII.
 IN_WORD = ((_CODES >= 48) & (_CODES <= 57)) | ((_CODES >= 97) & (_CODES <= 122)) | (_CODES >= 128)
 
@@ -51,11 +54,14 @@ def powers(base: int, n: int) -> np.ndarray:
 
 
 class Words:
-    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of lower-cased (A-Z) texts: starts, ends, text and hash of each."""
+    """Words `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of lower-cased (A-Z) texts: starts, ends, text and hash of each.
 
-    def __init__(self, raw: np.ndarray, at: np.ndarray):
-        self.bytes = LOWER[raw]
-        inside = IN_WORD[self.bytes]
+    With SAME and NOT_SPACE, words `[^\\x20\\x09-\\x0D]+` of the texts as they are.
+    """
+
+    def __init__(self, raw: np.ndarray, at: np.ndarray, change: np.ndarray = LOWER, letters: np.ndarray = IN_WORD):
+        self.bytes = change[raw]
+        inside = letters[self.bytes]
         edge = np.zeros(len(raw) + 1, bool)
         edge[at] = True
         before = np.concatenate(([False], inside[:-1])) if len(raw) else inside
