@@ -16,7 +16,7 @@ from liftgauge.session import scratch_path, written
 
 #: Postings in a block, and in a shard (one document may have more).
 BLOCK = 128
-SHARD_POSTINGS = 1 << 22
+SHARD_POSTINGS = 1 << 20
 SHARDS_A_FILE = 4
 #: Documents that a query looks at before the bound rises for the first time; each next range is twice as long.
 FIRST_RANGE = 256
@@ -111,7 +111,8 @@ def index(documents: DataFrame) -> DataFrame:
                 heads = np.flatnonzero(np.concatenate((
                     [True] * bool(len(h)), (h[1:] != h[:-1]) | (text[1:] != text[:-1]))))
                 n = len(at) - 1
-                held.append((h[heads], text[heads] + rows, np.diff(np.append(heads, len(h))), ids[first:first + n], words.count))
+                held.append((h[heads], (text[heads] + rows).astype(np.int32), np.diff(np.append(heads, len(h))).astype(np.int32),
+                             ids[first:first + n], words.count))
                 rows += n
                 postings += len(heads)
                 if postings >= SHARD_POSTINGS:
