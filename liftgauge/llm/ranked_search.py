@@ -16,7 +16,7 @@ from liftgauge.session import scratch_path, written
 
 #: Postings in a block, and in a shard (one document may have more).
 BLOCK = 128
-SHARD_POSTINGS = 1 << 20
+SHARD_POSTINGS = 1 << 19
 SHARDS_A_FILE = 4
 #: Documents that a query looks at before the bound rises for the first time; each next range is twice as long.
 FIRST_RANGE = 256
@@ -26,8 +26,10 @@ NO_ID = -(1 << 63)
 
 BLOCKS = np.dtype([("first", "<i4"), ("last", "<i4"), ("at", "<i8"), ("count", "u1"), ("doc_width", "u1"),
                    ("tf_width", "u1"), ("max_tf", "<i4"), ("least_length", "<i4")])
-INDEX = ("n_docs long, n_terms long, terms array<long>, dfs array<int>, first_block array<int>, doc_ids array<long>, "
-         "lengths array<int>, blocks binary, payload binary")
+#: The columns of a shard: their numbers go as bytes, which neither Spark nor Arrow has to take apart.
+ARRAYS = {"terms": np.dtype("<u8"), "dfs": np.dtype("<i4"), "first_block": np.dtype("<i4"), "doc_ids": np.dtype("<i8"),
+          "lengths": np.dtype("<i4"), "blocks": BLOCKS, "payload": np.dtype("u1")}
+INDEX = "n_docs long, n_terms long, " + ", ".join(f"{name} binary" for name in ARRAYS)
 
 
 def _runs(first: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -77,10 +79,15 @@ def packed(hashes: np.ndarray, docs: np.ndarray, tfs: np.ndarray, ids: np.ndarra
         for byte in range(int(wide.max())):
             some = wide > byte
             payload[place[some] + byte] = values[some] >> 8 * byte & 255
-    return {
-        "n_docs": int((lengths > 0).sum()), "n_terms": int(lengths.sum()), "terms": hashes[heads].view(np.int64),
-        "dfs": dfs.astype(np.int32), "first_block": np.append(np.searchsorted(starts, heads), len(starts)).astype(np.int32),
-        "doc_ids": ids[by_id], "lengths": lengths.astype(np.int32), "blocks": blocks.tobytes(), "payload": payload.tobytes()}
+    arrays = {"terms": hashes[heads], "dfs": dfs, "first_block": np.append(np.searchsorted(starts, heads), len(starts)),
+              "doc_ids": ids[by_id], "lengths": lengths, "blocks": blocks, "payload": payload}
+    return {"n_docs": int((lengths > 0).sum()), "n_terms": int(lengths.sum())} | {
+        name: array.astype(ARRAYS[name]).tobytes() for name, array in arrays.items()}
+
+
+def unpacked(batch: pa.RecordBatch, name: str, at: int) -> np.ndarray:
+    """One of the ARRAYS of a row of the index."""
+    return np.frombuffer(batch.column(name)[at].as_buffer(), ARRAYS[name])
 
 
 def index(documents: DataFrame) -> DataFrame:
@@ -98,9 +105,7 @@ def index(documents: DataFrame) -> DataFrame:
             row = packed(*(np.concatenate(x) for x in zip(*held, strict=True)))
             held.clear()
             rows = postings = 0
-            kinds = {"terms": pa.int64(), "dfs": pa.int32(), "first_block": pa.int32(), "doc_ids": pa.int64(), "lengths": pa.int32()}
-            return pa.RecordBatch.from_pydict(
-                {k: pa.array([v], pa.list_(kinds[k])) if k in kinds else pa.array([v]) for k, v in row.items()})
+            return pa.RecordBatch.from_pydict({name: pa.array([value]) for name, value in row.items()})
 
         for batch in batches:
             ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
@@ -129,12 +134,9 @@ def index(documents: DataFrame) -> DataFrame:
 class Shard:
     """One row of the index, opened for search. `size` is (documents with words, words) of the whole corpus."""
 
-    def __init__(self, row: dict, size: tuple[int, int]):
-        array = lambda name: row[name].values.to_numpy()
-        self.terms, self.first_block = array("terms"), array("first_block").astype(np.int64)
-        self.ids, lengths = array("doc_ids"), array("lengths").astype(np.int64)
-        self.blocks = np.frombuffer(row["blocks"].as_buffer(), BLOCKS)
-        self.payload = np.frombuffer(row["payload"].as_buffer(), np.uint8)
+    def __init__(self, row: dict[str, np.ndarray], size: tuple[int, int]):
+        self.terms, self.ids, self.blocks, self.payload = (row[name] for name in ("terms", "doc_ids", "blocks", "payload"))
+        self.first_block, lengths = row["first_block"].astype(np.int64), row["lengths"].astype(np.int64)
         self.size = size
         self.norm = self._norm(lengths)
         of = np.repeat(np.arange(len(self.terms)), np.diff(self.first_block))
@@ -269,12 +271,13 @@ def weighed(rows: list, shards: DataFrame, documents: int) -> Queries:
     sent = shards.sparkSession.sparkContext.broadcast(asked)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(sent.value), np.int64)
+        wanted = sent.value.view(np.uint64)
+        total = np.zeros(len(wanted), np.int64)
         for batch in batches:
-            for terms, dfs in zip(batch.column("terms"), batch.column("dfs"), strict=True):
-                own = terms.values.to_numpy()
-                place = np.minimum(np.searchsorted(own.view(np.uint64), sent.value.view(np.uint64)), len(own) - 1)
-                total += np.where(own[place] == sent.value, dfs.values.to_numpy()[place], 0)
+            for at in range(batch.num_rows):
+                own, dfs = unpacked(batch, "terms", at), unpacked(batch, "dfs", at)
+                place = np.minimum(np.searchsorted(own, wanted), len(own) - 1)
+                total += np.where(own[place] == wanted, dfs[place], 0)
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(sent.value[some]), pa.array(total[some])], names=["h", "n"])
 
@@ -298,9 +301,7 @@ def shard_heaps(shards: DataFrame, queries: Queries, size: tuple[int, int], top:
         asked = sent.value
         for batch in batches:
             for at in range(batch.num_rows):
-                shard = Shard({name: batch.column(name)[at] for name in batch.schema.names}, size)
-                # Terms are in the order of their unsigned hashes.
-                shard.terms = shard.terms.view(np.uint64)
+                shard = Shard({name: unpacked(batch, name, at) for name in batch.schema.names}, size)
                 items, docs, scores = [], [], []
                 for n, item in enumerate(asked.items):
                     part = slice(asked.begins[n], asked.begins[n + 1])

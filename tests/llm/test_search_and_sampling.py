@@ -99,11 +99,9 @@ def a_shard(documents):
     hashes, docs, tfs = (np.array(x) for x in zip(*((t, d, n) for d, doc in enumerate(documents) for t, n in doc.items()), strict=True))
     lengths = np.array([sum(d.values()) for d in documents])
     row = ranked_search.packed(hashes.astype(np.uint64), docs, tfs, np.arange(len(documents)) * 3 - 5, lengths)
-    kinds = {"terms": pa.int64(), "dfs": pa.int32(), "first_block": pa.int32(), "doc_ids": pa.int64(), "lengths": pa.int32()}
-    columns = {k: pa.array([v], pa.list_(kinds[k])) if k in kinds else pa.array([v]) for k, v in row.items()}
-    shard = ranked_search.Shard({k: v[0] for k, v in columns.items()}, (len(documents), int(lengths.sum())))
-    shard.terms = shard.terms.view(np.uint64)
-    return shard
+    batch = pa.RecordBatch.from_pydict({name: pa.array([value]) for name, value in row.items()})
+    return ranked_search.Shard(
+        {name: ranked_search.unpacked(batch, name, 0) for name in ranked_search.ARRAYS}, (len(documents), int(lengths.sum())))
 
 
 def test_bounds_reject_blocks_unopened_and_lose_nothing():
