@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -21,9 +21,8 @@ PATTERNS = {
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 TOKEN = re.compile(r"\S+")
+#: Tokens of a line that are scored at once.
 CHAIN_TOKENS = 4096
-#: Tokens that a chain shares with the next beyond its end, and with the one before.
-MARGIN = 256
 BATCH_CELLS = 1 << 16
 SHAPES_CACHED = 1 << 18
 
@@ -73,9 +72,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     found = []
     if "@" in text:
         found += [("email", m.start(), m.end()) for m in _emails(text)]
-    for m in PATTERNS["ip"].finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
-            found.append(("ip", m.start(), m.end()))
+    found += [("ip", start, end) for start, end in _ips(text)]
     for m in PATTERNS["card"].finditer(text):
         digits = re.sub("[ -]", "", m.group())
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -87,6 +84,25 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _ips(text: str) -> Iterator[tuple[int, int]]:
+    """Matches of the pattern: of each chain of numbers with single dots between, every four in turn."""
+    for chain in _DOTTED.finditer(text):
+        runs = list(_DIGITS.finditer(text, chain.start(), chain.end()))
+        for first in range(0, len(runs) - 3, 4):
+            if all(_byte(run.group()) for run in runs[first:first + 4]):
+                yield runs[first].start(), runs[first + 3].end()
+
+
+# Possessive, so that a run of digits is gone through once.
+_DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
+_DIGITS = re.compile(r"[0-9]++")
+
+
+def _byte(digits: str) -> bool:
+    bare = digits.lstrip("0")
+    return len(bare) <= 3 and int(bare or "0") <= 255
+
+
 def _emails(text: str) -> Iterator[re.Match]:
     """Leftmost matches, looked for from each `@`: its local part is the whole run of allowed characters before it."""
     done, at = 0, text.find("@")
@@ -246,29 +262,52 @@ def trained(rounds: int = 150, rate: float = 0.3, ridge: float = 0.02) -> Field:
     return Field(names, emit.astype(np.float32), move.astype(np.float32))
 
 
-def chains(text: str, margin: int = MARGIN) -> Iterator[tuple[list[re.Match], int, int]]:
-    """(tokens, low, high) over each line: tokens and the places among them where its own spans begin.
+def lines(text: str) -> Iterator[re.Match]:
+    return re.finditer(r"[^\n]+", text)
+
 
-    A line of over CHAIN_TOKENS is decoded in several chains, so that memory is bounded. Each token belongs to one
-    chain, which also sees the `margin` tokens on both sides.
+def long_chain(field: Field, text: str, line: re.Match) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and tags of all tokens of a line of any length, as one chain.
+
+    Scores are made for CHAIN_TOKENS at a time and the best way to each tag is carried on, so only a byte for each token and
+    tag is held for the way back. A tag sees all of the line, as in a short one.
     """
-    for line in re.finditer(r"[^\n]+", text):
-        held: list[re.Match] = []
-        low = 0
-        for token in TOKEN.finditer(text, line.start(), line.end()):
-            held.append(token)
-            if len(held) == low + CHAIN_TOKENS + margin:
-                yield held, low, low + CHAIN_TOKENS
-                held = held[max(0, low + CHAIN_TOKENS - margin):]
-                low = len(held) - margin
-        if len(held) > low:
-            yield held, low, len(held)
+    bounds, backs, best = [], [], None
+    tokens = TOKEN.finditer(text, line.start(), line.end())
+    before, now = None, [m for _, m in zip(range(CHAIN_TOKENS), tokens)]
+    while now:
+        after = [m for _, m in zip(range(CHAIN_TOKENS), tokens)]
+        context = ([before] if before else []) + now + after[:1]
+        begin = 1 if before else 0
+        scores = field.scores([m.group() for m in context])[begin:begin + len(now)]
+        back = np.zeros((len(now), len(TAGS)), np.int8)
+        for t, score in enumerate(scores):
+            if best is None:
+                best = score.astype(np.float64)
+            else:
+                ways = best[:, None] + field.move
+                back[t] = ways.argmax(axis=0)
+                best = ways.max(axis=0) + score
+        # Only the differences count.
+        best = best - best.max()
+        bounds.append(np.array([m.span() for m in now], np.int64))
+        backs.append(back)
+        before, now = now[-1], after
+    places = np.concatenate(bounds)
+    tags = np.zeros(len(places), np.int8)
+    tag, at = int(best.argmax()), len(places)
+    for back in reversed(backs):
+        for row in back[::-1]:
+            at -= 1
+            tags[at] = tag
+            tag = int(row[tag])
+    return places[:, 0], places[:, 1], tags
 
 
 def believable(kind: str, body: str) -> bool:
     """The checks of the base, which an added span has to pass too; emails may be spelled out."""
     if kind == "email":
-        return "@" in body or re.search(r"\bat\b.+\bdot\b", body) is not None
+        return "@" in body or spelled_out(body)
     if kind == "ip":
         parts = body.split(".")
         return len(parts) == 4 and all(re.fullmatch("[0-9]{1,3}", p) and int(p) <= 255 for p in parts)
@@ -278,9 +317,18 @@ def believable(kind: str, body: str) -> bool:
     return 14 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 10 <= len(digits) <= 15
 
 
+def spelled_out(line: str) -> bool:
+    """Whether the word `at` stands before the word `dot`, with something between."""
+    first = re.search(r"\bat\b", line)
+    return first is not None and _DOT.search(line, first.end() + 1) is not None
+
+
+_DOT = re.compile(r"\bdot\b")
+
+
 def may_hold(line: str) -> bool:
     """False where no span could pass `believable`, so that decoding the line could add nothing."""
-    return "@" in line or len(re.findall("[0-9]", line)) >= 4 or re.search(r"\bat\b.+\bdot\b", line) is not None
+    return "@" in line or len(re.findall("[0-9]", line)) >= 4 or spelled_out(line)
 
 
 def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int]]]:
@@ -288,49 +336,57 @@ def field_spans(field: Field, texts: list[str]) -> list[list[tuple[str, int, int
     where, scores, out = [], [], [[] for _ in texts]
 
     def flush() -> None:
-        for (n, tokens, low, high), tags in zip(where, field.decode(scores), strict=True):
+        for (n, starts, ends), tags in zip(where, field.decode(scores), strict=True):
             if tags.any():
-                out[n] += _spans(texts[n], tokens, tags, low, high)
+                out[n] += _spans(texts[n], starts, ends, tags)
         where.clear()
         scores.clear()
 
     held = 0
     for n, text in enumerate(texts):
-        for tokens, low, high in chains(text):
-            if not may_hold(text[tokens[0].start():tokens[-1].end()]):
+        for line in lines(text):
+            if not may_hold(line.group()):
                 continue
-            where.append((n, tokens, low, high))
-            scores.append(field.scores([t.group() for t in tokens]))
-            held += len(tokens)
-            if held >= BATCH_CELLS:
-                flush()
-                held = 0
+            tokens = [m for _, m in zip(range(CHAIN_TOKENS + 1), TOKEN.finditer(text, line.start(), line.end()))]
+            if len(tokens) > CHAIN_TOKENS:
+                out[n] += _spans(text, *long_chain(field, text, line))
+            elif tokens:
+                where.append((n, [m.start() for m in tokens], [m.end() for m in tokens]))
+                scores.append(field.scores([m.group() for m in tokens]))
+                held += len(tokens)
+                if held >= BATCH_CELLS:
+                    flush()
+                    held = 0
     flush()
-    return out
+    return [sorted(spans, key=lambda s: s[1]) for spans in out]
 
 
-def _spans(text: str, tokens: list[re.Match], tags: np.ndarray, low: int, high: int) -> Iterator[tuple[str, int, int]]:
-    """Believable spans that begin at the tokens from `low` to before `high`."""
-    at = 0
-    while at < len(tags):
-        if not tags[at]:
-            at += 1
-            continue
+def _spans(text: str, starts: Sequence[int], ends: Sequence[int], tags: np.ndarray) -> Iterator[tuple[str, int, int]]:
+    """Believable spans of tagged tokens."""
+    for at in _begins(tags):
         kind = TAGS[tags[at]][2:]
         last = at
         while last + 1 < len(tags) and TAGS[tags[last + 1]] == f"I-{kind}":
             last += 1
-        if not low <= at < high:
-            at = last + 1
-            continue
-        start, end = tokens[at].start(), tokens[last].end()
+        start, end = int(starts[at]), int(ends[last])
         while start < end and not (text[start].isalnum() or text[start] in "+("):
             start += 1
         while end > start and not text[end - 1].isalnum():
             end -= 1
         if believable(kind, text[start:end]):
             yield kind, start, end
-        at = last + 1
+
+
+def _begins(tags: np.ndarray) -> list[int]:
+    """Places of tagged tokens at which no span goes on."""
+    out, inside, previous = [], "", -2
+    for at in np.flatnonzero(tags).tolist():
+        name = TAGS[tags[at]]
+        goes_on = name[0] == "I" and name[2:] == inside and at - 1 == previous
+        if not goes_on:
+            out.append(at)
+        inside, previous = name[2:], at
+    return out
 
 
 def joined(spans: list[tuple[str, int, int]]) -> str:

@@ -18,6 +18,8 @@ from liftgauge.session import scratch_path, written
 RECORDS_PER_FILE = 1000
 END = "\r\n\r\n"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
+#: The made-up capture times of the pages repeat after so many ids, so that any id has one.
+SECONDS = 1 << 31
 HTTP_HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = ("url_key string, captured string, page_id long, payload_bytes long, payload_digest string, "
@@ -46,7 +48,7 @@ def record(page_id, url, html, digest, size, first, least) -> str:
     """One record without its end mark. A revisit names its response and leaves the payload out."""
     revisit = size >= least and first is not None and page_id != first
     block = "" if revisit else HTTP_HEAD + (html or "")
-    captured = (EPOCH + timedelta(seconds=page_id or 0)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    captured = (EPOCH + timedelta(seconds=(page_id or 0) % SECONDS)).strftime("%Y-%m-%dT%H:%M:%SZ")
     head = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}",
             f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {captured}"]
     if url is not None:
