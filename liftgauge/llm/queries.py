@@ -50,7 +50,7 @@ def op6_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_repeats(spark: SparkSession, folder: str) -> DataFrame:
-    return without_repeats(table(spark, folder, "documents"))
+    return without_repeats(table(spark, folder, "documents"), keep_text=True)
 
 
 def op8_licences(spark: SparkSession, folder: str) -> DataFrame:

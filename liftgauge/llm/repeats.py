@@ -190,7 +190,7 @@ def contested(cut: DataFrame) -> DataFrame:
     and BLOCK - 1 bytes on both its sides together.
     """
     rows = cut.select("core", "piece", "left", "right")
-    hot = F.broadcast(written(hot_cores(cut), "hot-cores"))
+    hot = written(hot_cores(cut), "hot-cores")
     distinct = rows.join(hot, "core", "left_anti").dropDuplicates(["core", "piece"])
     shared = rows.join(hot, "core", "left_semi").dropDuplicates(["core", "piece"])
 
@@ -240,10 +240,12 @@ def contested(cut: DataFrame) -> DataFrame:
 
 def repeated_spans(documents: DataFrame, width: int) -> DataFrame:
     """(doc_id, text_key, spans): start and end of what is covered by strings of `width` bytes that start elsewhere too."""
-    found = written(runs(documents, width), "repeat-runs")
-    contents = found.groupBy("key", "c1", "c2").agg(
-        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "s", "e", "a")).alias("one"))
-    contents = written(contents, "repeat-contents")
+    every = written(runs(documents, width), "repeat-runs")
+    # A string that starts twice has its anchor twice, so a run whose key is alone has nothing to lose.
+    twice = written(every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key"), "repeat-keys")
+    found = written(every.join(twice, "key"), "repeat-shared")
+    contents = written(found.groupBy("key", "c1", "c2").agg(
+        F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key", "s", "e", "a")).alias("one")), "repeat-contents")
     several = contents.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     asked = contents.join(several, "key", "left_semi")
     cut = written(
@@ -257,10 +259,11 @@ def repeated_spans(documents: DataFrame, width: int) -> DataFrame:
         "core", "piece", F.lit(0).cast("long").alias("low"), F.col("last").cast("long").alias("high"))
     some = cut.select("c1", "c2", "w", "core", "piece").join(shared.union(contested(cut)), ["core", "piece"]).select(
         "c1", "c2", (F.col("w") + F.col("low")).alias("low"), (F.col("w") + F.col("high")).alias("high"))
-    parts = whole.union(some).groupBy("c1", "c2").agg(
+    parts = written(whole.union(some).groupBy("c1", "c2").agg(
         F.bool_or(F.col("high").isNull()).alias("all"), F.collect_set(F.struct("low", "high")).alias("parts"),
     ).select("c1", "c2", F.when(F.col("all"), F.filter("parts", lambda p: p["high"].isNull())).otherwise(
-        F.col("parts")).alias("parts"))
+        F.col("parts")).alias("parts")), "repeat-parts")
+    # Both sides are written tables, so that Spark can split a content which very many documents share.
     return (
         found.select("doc_id", "text_key", "s", "e", "c1", "c2").join(parts, ["c1", "c2"])
         .select("doc_id", "text_key", F.transform("parts", lambda p: F.struct(
@@ -270,14 +273,14 @@ def repeated_spans(documents: DataFrame, width: int) -> DataFrame:
 
 
 def without_repeats(documents: DataFrame, width: int = 400, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (binary), for every row.
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept, for every row.
 
     A byte goes if a string of `width` bytes over it also starts anywhere else in the input, in the same document
     too; overlaps count. Null is the empty text. Texts shorter than `width` stay whole. Repeated rows are
-    repeats of each other. What is kept may cut characters, so it is bytes.
+    repeats of each other. What is kept may cut characters: the digest is of its bytes, in `kept` cut ones are replaced.
     """
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    schema += ", kept binary" if keep_text else ""
+    schema += ", kept string" if keep_text else ""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,9 +295,10 @@ def without_repeats(documents: DataFrame, width: int = 400, keep_text: bool = Fa
                         merged.append([s, e])
                 cuts = [0, *(x for span in merged for x in span), len(raw)]
                 kept = b"".join(raw[cuts[i]:cuts[i + 1]] for i in range(0, len(cuts), 2))
-                rows.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((len(raw), len(raw) - len(kept), len(merged), hashlib.sha256(kept).hexdigest(),
+                             kept.decode(errors="replace") if keep_text else None))
             columns = list(zip(*rows, strict=True)) or [()] * 5
-            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             arrays = [batch.column("doc_id"), *(pa.array(list(c), t) for c, t in zip(columns, types, strict=True))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
             yield pa.RecordBatch.from_arrays(arrays[:5 + keep_text], names=names[:5 + keep_text])

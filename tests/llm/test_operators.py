@@ -7,6 +7,7 @@ import hashlib
 import random
 import re
 import textwrap
+import time
 from collections import Counter
 
 import numpy as np
@@ -297,17 +298,59 @@ def test_licences_as_they_are_found(spark):
     assert [found[i].licences for i in range(len(cases))] == list(cases.values())
 
 
-def test_field_spans_across_chains():
+def test_field_spans_in_lines_of_any_length():
     field, n = pii.trained(), pii.CHAIN_TOKENS
-    for body in ("tel (212) 555-0199 for the front desk", "mail sam at mail dot example dot org today"):
+    for body in ("tel (212) 555-0199 for the front desk", "mail sam at mail dot example dot org today",
+                 "mail sam at mail " + "dot x " * 300 + "dot org today"):
         alone = pii.field_spans(field, [body])[0]
         assert alone
         for cut in (n, 2 * n):
-            for before in range(cut - len(body.split()), cut + 1):
+            for before in {cut - len(body.split()), cut - 3, cut - 2, cut - 1, cut, cut + 1}:
                 filler = "word " * before
                 text = filler + body + " word" * 3000
                 assert pii.field_spans(field, [text])[0] == [(k, s + len(filler), e + len(filler)) for k, s, e in alone]
     assert pii.shape("a" * 70 + "-1") == "xxxx-9"
+    # A long line is tagged as one chain would be.
+    tokens = [rnd.choice(["call", "+44", "20", "7946", "0958", "at", "dot", "mail", "x", "4111", "1111"]) for _ in range(9000)]
+    text = " ".join(tokens)
+    starts, ends, tags = pii.long_chain(field, text, next(pii.lines(text)))
+    assert [text[s:e] for s, e in zip(starts, ends, strict=True)] == tokens
+    scores = field.scores(tokens).astype(float)
+    worth = lambda way: scores[np.arange(len(way)), way].sum() + field.move[way[:-1], way[1:]].sum(dtype=float)
+    assert worth(tags) >= worth(field.decode([field.scores(tokens)])[0]) - 1e-6
+
+
+def test_hostile_texts_are_gone_through_once(spark):
+    texts = {
+        "0" * 5000 + ".0.0.1": "ip", "1" * 1_000_000: "", "1." * 300_000: "ip " * 75_000, "at-" * 350_000: "", "at-" * 100_000 + "dot-" * 100_000: "",
+        "000000192.168.0.1.5.6.7.8.9": "ip ip", "256.1.1.1.1.1.1.1": "ip", "@" * 500_000: "", "a@" * 300_000: "", "+1-" * 300_000: "",
+        "a@b." * 200_000: "", "1 " * 100_000: "", "x" * 1_000_000: "",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.monotonic()
+    found = by_id(pii.find_spans(df))
+    assert time.monotonic() - began < 120
+    for i, want in enumerate(texts.values()):
+        assert found[i].n_ip == want.split().count("ip"), list(texts)[i][:40]
+    pattern = pii.PATTERNS["ip"]
+    for _ in range(3000):
+        text = "".join(rnd.choice("0125.. a") for _ in range(rnd.randint(0, 40)))
+        plain = [(m.start(), m.end()) for m in pattern.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+        assert list(pii._ips(text)) == plain
+        line = "".join(rnd.choice(["at", "dot", " ", "-", "x"]) for _ in range(rnd.randint(0, 9)))
+        assert pii.spelled_out(line) == (re.search(r"\bat\b.+\bdot\b", line) is not None)
+
+
+def test_archives_of_any_ids(spark):
+    ids = [10**12, -(10**12), None, 0, 2**62, -(2**63), 7, None]
+    rows = [(i, f"http://h.example/{n % 2}", "same" if n % 2 else f"page {n}") for n, i in enumerate(ids)]
+    schema = "page_id long, url string, html string"
+    out = warc.archived(spark.createDataFrame(rows, schema)).collect()
+    assert Counter(r.page_id for r in out) == Counter(ids)
+    same = [r for r in out if r.payload_bytes == 4]
+    assert [(r.page_id, r.record_type) for r in same if r.record_type == "response"] == [(-(10**12), "response")]
+    assert all(r.refers_to == -(10**12) for r in same if r.record_type == "revisit")
+    assert warc.archived(spark.createDataFrame([], schema)).count() == 0
 
 
 def test_repeats_of_a_core_with_very_many_surroundings(spark):
