@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -63,6 +66,58 @@ def read_sales_csv(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*(day if f.name == "Transaction_Date" else _typed(f) for f in SALES_CSV))
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, text) of every line of text files, numbered from 1 within each file.
+
+    Files are read in blocks, each in order by one task; the lines of the blocks before are added up from a row a block.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
+        F.col("value").alias("text"), F.monotonically_increasing_id().alias("_at"))
+    blocks = lines.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.sum("_n").over(W.partitionBy("file").orderBy("_block").rowsBetween(W.unboundedPreceding, -1))
+    starts = blocks.select("file", "_block", (F.coalesce(before, F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    return lines.join(starts, ["file", "_block"]).select("file", (F.col("_at") + F.col("_shift")).alias("line"), "text")
+
+
+def split_sales_csv(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(lines, refused): the lines that `read_sales_csv` would take, and file, line, reason and text of the others.
+
+    The header names the columns and is line 1 of each file; files whose header is another one are refused whole, as are
+    lines with more or fewer columns or with open quotes, and those with a number or date that does not parse. Empty lines
+    are neither. A line of text is one line of the table, as in `read_sales_csv`.
+    """
+    header = spark.read.options(header=True).csv(path).columns
+    absent = [name for name in SALES_CSV.fieldNames() if name not in header]
+    if absent:
+        raise ValueError(f"{path} has no column {', '.join(absent)}; its header is {', '.join(header)}")
+    places = [f"_{n}" for n in range(len(header))]
+    form = ", ".join(f"{p} string" for p in places)
+    malformed = "_malformed"
+    cut = F.from_csv("text", f"{form}, {malformed} string", {"columnNameOfCorruptRecord": malformed})
+    lines = _numbered_lines(spark, path).where(F.trim("text") != "").withColumn("_cut", cut)
+    named = {name: F.col(f"_cut.{places[header.index(name)]}") for name in SALES_CSV.fieldNames()}
+    is_header = reduce(
+        Column.__and__, [F.col(f"_cut.{p}").eqNullSafe(F.lit(name)) for p, name in zip(places, header, strict=True)])
+    other_files = lines.where((F.col("line") == 1) & ~is_header).select("file", F.lit(True).alias("_other")).distinct()
+    typed, reasons = {}, [F.when(F.col("_other"), F.lit("another header")),
+                          F.when(F.col(f"_cut.{malformed}").isNotNull(), F.lit("another number of columns"))]
+    for field in SALES_CSV:
+        text = named[field.name]
+        if field.name == "Transaction_Date":
+            typed[field.name] = F.try_to_date(text, CSV_DATE)
+        elif isinstance(field.dataType, T.StringType):
+            typed[field.name] = text
+        else:
+            typed[field.name] = text.try_cast(field.dataType)
+        reasons.append(F.when(text.isNotNull() & typed[field.name].isNull(), F.lit(f"{field.name} does not parse")))
+    judged = (
+        lines.where((F.col("line") > 1) | ~is_header).join(other_files, "file", "left")
+        .withColumn("reason", F.coalesce(*reasons)))
+    good = judged.where(F.col("reason").isNull()).select(*[value.alias(name) for name, value in typed.items()])
+    return good, judged.where(F.col("reason").isNotNull()).select("file", "line", "reason", "text")
+
+
 def read_initiatives_csv(spark: SparkSession, path: str) -> DataFrame:
     """Initiatives from CSV, columns by header name."""
     return _csv_by_header(spark, path, INITIATIVES_CSV).select(*map(_typed, INITIATIVES_CSV))

@@ -16,6 +16,18 @@ def save_table(df: DataFrame, path: str, partition_by: list[str] | None = None)
     writer.parquet(path)
 
 
+def save_initiatives_bucketed(initiatives: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """Keep the initiatives bucketed by customer; with as many buckets as the facts have, neither is moved to be joined."""
+    (
+        initiatives.repartition(buckets, "CustomerID")
+        .write.bucketBy(buckets, "CustomerID")
+        .sortBy("CustomerID")
+        .option("path", path)
+        .saveAsTable(table)
+    )
+    return initiatives.sparkSession.table(table)
+
+
 def save_daily_bucketed(daily: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
     """Keep the customer-day facts partitioned by month and bucketed by customer.
 

@@ -20,6 +20,8 @@ LINE = (
 @pytest.fixture(scope="session")
 def spark():
     session = local_session(4, shuffle_partitions=4)
+    # Plans are read in full, however long the names in them have grown.
+    session.conf.set("spark.sql.maxMetadataStringLength", "10000")
     yield session
     session.stop()
 

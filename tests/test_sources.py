@@ -1,15 +1,29 @@
+import random
+from pathlib import Path
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from liftgauge.operators.facts import daily_facts
+from liftgauge.session import Store, shared_dir, written
 from liftgauge.sources import profile
-from liftgauge.sources.sales import read_initiatives_csv, read_sales_csv, read_sales_parquet, rejected_dates
-from liftgauge.sources.sinks import save_daily_bucketed, save_table
+from liftgauge.sources.fact_store import FactStore
+from liftgauge.sources.sales import read_initiatives_csv, read_sales_csv, read_sales_parquet, rejected_dates, split_sales_csv
+from liftgauge.sources.sinks import save_daily_bucketed, save_initiatives_bucketed, save_table
 
 HEADER = "CustomerID,Transaction_ID,Transaction_Date,Product_Category,Quantity,Avg_Price,Coupon_Status\n"
 
 
+@pytest.fixture
+def tables(spark):
+    """Names of tables that are dropped after the test, however it ends."""
+    made = []
+    yield lambda name: made.append(name) or name
+    for name in made:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "sales.csv").write_text(HEADER + "17850,16679,1/1/2019,Nest-USA,1,153.71,Used\n17850,16680,12/31/2019,Bags,2,5,\n")
     rows = read_sales_csv(spark, str(tmp_path / "sales.csv")).collect()
@@ -83,29 +97,28 @@ def test_sample_is_stable(spark):
     assert first != profile.stable_sample(frame, ["id"], seed=1).collect()
 
 
-def test_bucketed_facts_are_not_shuffled_by_customer_again(spark, sales, metrics, initiatives, tmp_path):
+def test_bucketed_facts_are_not_shuffled_by_customer_again(spark, sales, metrics, initiatives, tmp_path, tables):
     from liftgauge.operators.labels import label
     from liftgauge.params import Periods
 
     daily = daily_facts(sales([
         (c, f"t{c}", "2019-01-01", "Bags", 1.0, 2.0, "Used") for c in range(50)
     ]), metrics)
-    kept = save_daily_bucketed(daily, "daily_bucketed_test", str(tmp_path / "daily"), buckets=4)
+    kept = save_daily_bucketed(daily, tables("daily_bucketed_test"), str(tmp_path / "daily"), buckets=4)
     labelled = label(kept, initiatives(1, 2), Periods.of("2019-01-01", "2019-01-31", "2019-02-01", "2019-02-28"))
     assert labelled.count() == 50
     plan = labelled._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "Exchange hashpartitioning(CustomerID" in line]
     # only the small initiatives table is shuffled, if anything
     assert len(shuffles) <= 1
-    spark.sql("DROP TABLE daily_bucketed_test")
 
 
-def test_an_analysis_of_stored_facts_reads_the_months_of_its_span(spark, sales, metrics, initiatives, tmp_path):
+def test_an_analysis_of_stored_facts_reads_the_months_of_its_span(spark, sales, metrics, initiatives, tmp_path, tables):
     from liftgauge.params import Cohort, Periods
     from liftgauge.plans.campaign import Campaign
 
     lines = sales([(c, f"t{c}{m}", f"2019-0{m}-05", "Bags", 1.0, 2.0, "Used") for c in range(9) for m in range(1, 7)])
-    kept = save_daily_bucketed(daily_facts(lines, metrics), "daily_months_test", str(tmp_path / "daily"), buckets=2)
+    kept = save_daily_bucketed(daily_facts(lines, metrics), tables("daily_months_test"), str(tmp_path / "daily"), buckets=2)
     periods = Periods.of("2019-02-01", "2019-02-28", "2019-03-01", "2019-03-31")
     arms = {"test": Cohort(), "control": Cohort("Promo")}
     stored = Campaign.from_daily(kept, initiatives(1, 2), periods, arms, metrics, keep=False)
@@ -116,4 +129,132 @@ def test_an_analysis_of_stored_facts_reads_the_months_of_its_span(spark, sales,
     assert sorted(stored.result.collect(), key=str) == sorted(raw.result.collect(), key=str)
     other = stored.with_arms({"test": Cohort("Promo"), "control": Cohort()})
     assert other.cube is stored.cube and other.result.count() == raw.result.count()
-    spark.sql("DROP TABLE daily_months_test")
+
+
+def test_labels_of_bucketed_tables_need_no_exchange(spark, sales, metrics, initiatives, tmp_path, tables):
+    from liftgauge.params import Periods
+    from liftgauge.plans.campaign import Campaign
+
+    lines = sales([(c, f"t{c}{m}", f"2019-0{m}-05", "Bags", 1.0, 2.0, "Used") for c in range(40) for m in range(1, 7)])
+    periods = Periods.of("2019-02-01", "2019-02-28", "2019-03-01", "2019-03-31")
+    daily = save_daily_bucketed(daily_facts(lines, metrics), tables("daily_joined_test"), str(tmp_path / "daily"), buckets=4)
+    listed = save_initiatives_bucketed(initiatives(*range(9)), tables("initiatives_test"), str(tmp_path / "initiatives"), buckets=4)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        campaign = Campaign.from_daily(daily, listed, periods, metrics=metrics, keep=False)
+        assert "Exchange" not in campaign.marked._jdf.queryExecution().executedPlan().toString()
+        raw = Campaign(lines, initiatives(*range(9)), periods, metrics=metrics, keep=False)
+        assert sorted(map(tuple, campaign.marked.collect())) == sorted(map(tuple, raw.marked.select(*campaign.marked.columns).collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+SHUFFLED = "Coupon_Status,CustomerID,Extra,Transaction_ID,Transaction_Date,Product_Category,Quantity,Avg_Price"
+
+
+def test_refused_lines_are_listed_with_file_line_and_reason(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    good = [f"Used,{i},x,t{i},3/{i % 28 + 1}/2019,\"Bags, large\",2,1.5" for i in range(400)]
+    first = [SHUFFLED, *good]
+    first[7] = "Used,a7,x,t7,3/1/2019,Bags,2,1.5"
+    first[200] = "Used,8,x,t8,2019-03-01,Bags,2,1.5"
+    first[201] = "Used,9,x,t9,3/1/2019,Bags,2"
+    first[202] = "Used,9,x,t9,3/1/2019,Bags,2,1.5,7"
+    first[300] = ""
+    first[399] = "Used,10,x,t10,3/1/2019,Bags,many,1.5"
+    first.append("Used,,x,,,,,")
+    (folder / "a.csv").write_text("\n".join(first) + "\n")
+    (folder / "b.csv").write_text(SHUFFLED + "\nUsed,1,x,t1,3/1/2019,Bags,2,\n")
+    (folder / "c.csv").write_text(SHUFFLED.replace("Extra", "Other") + "\nUsed,1,x,t1,3/1/2019,Bags,2,1.5\n")
+    (folder / "d.csv").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        kept, refused = split_sales_csv(spark, str(folder))
+        assert spark.read.text(str(folder)).rdd.getNumPartitions() > 5  # files are cut into blocks
+        found = sorted((r.file[-5:], r.line, r.reason, r.text) for r in refused.collect())
+        number = "another number of columns"
+        assert found == [
+            ("a.csv", 8, "CustomerID does not parse", first[7]), ("a.csv", 201, "Transaction_Date does not parse", first[200]),
+            ("a.csv", 202, number, first[201]), ("a.csv", 203, number, first[202]),
+            ("a.csv", 400, "Quantity does not parse", first[399]),
+            ("c.csv", 1, "another header", SHUFFLED.replace("Extra", "Other")),
+            ("c.csv", 2, "another header", "Used,1,x,t1,3/1/2019,Bags,2,1.5"),
+        ]
+        rows = kept.collect()
+        assert len(rows) == 400 - 6 + 2 and kept.schema == read_sales_csv(spark, str(folder / "b.csv")).schema
+        assert {r.Product_Category for r in rows} == {"Bags, large", "Bags", None}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", before[1])
+    with pytest.raises(Exception, match="does not parse|header"):
+        read_sales_csv(spark, str(folder)).collect()
+    with pytest.raises(ValueError, match="has no column"):
+        (tmp_path / "e.csv").write_text("a,b\n1,2\n")
+        split_sales_csv(spark, str(tmp_path / "e.csv"))
+
+
+def test_refreshed_facts_are_those_of_a_rebuild(spark, sales, metrics, tmp_path):
+    rng = random.Random(2)
+
+    def some(n, months):
+        return [(rng.randint(1, 30), f"t{rng.randint(1, 400)}-{m}", f"2019-0{m}-0{rng.randint(1, 9)}", rng.choice(["Apparel", "Bags"]),
+                 float(rng.randint(1, 5)), rng.randint(100, 999) / 100, rng.choice(["Used", "No"]))
+                for m in (rng.choice(months) for _ in range(n))]
+
+    first, late = some(300, (1, 2, 3)), some(60, (3, 4))
+    store = FactStore(spark, str(tmp_path / "store"), metrics, buckets=3)
+    with pytest.raises(ValueError, match="no facts"):
+        store.daily()
+    one = store.refresh(sales(first), "first")
+    again = store.refresh(sales(first), "first")
+    assert again == one
+    old = store.daily()
+    two = store.refresh(sales(late), "late")
+    # Months and buckets that no late line touches are where they were.
+    assert {c for c in one.runs if two.runs[c] == one.runs[c]} == {c for c in one.runs if not c.startswith("2019-03")}
+    # All lines of some transactions, corrected: other amounts, one on a day of another month, one gone to nothing.
+    wrong = sorted({(c, t) for c, t, *_ in first})[:12]
+    corrected = [(c, t, f"2019-0{1 + i % 4}-05", "Apparel", 9.0, 1.25, "Used") for i, (c, t) in enumerate(wrong)]
+    store.refresh(sales(corrected), "fixes", corrects=True)
+    rest = [x for x in first + late if (x[0], x[1]) not in wrong]
+    rebuilt = daily_facts(sales(rest + corrected), metrics)
+    assert sorted(map(tuple, store.daily().select(*rebuilt.columns).collect())) == sorted(map(tuple, rebuilt.collect()))
+    assert old.count() == daily_facts(sales(first), metrics).count()  # a reader of before still reads what was then
+    assert store.lines().count() == len(rest) + len(corrected)
+    plan = store.daily().where("Facts_Month = DATE'2019-02-01'")._jdf.queryExecution().executedPlan().toString()
+    assert "Facts_Month" in plan.partition("PartitionFilters: [")[2].partition("]")[0]
+    store.vacuum()
+    assert store.lines().count() == len(rest) + len(corrected) and len(store.folder.names("manifests")) == 1
+    assert set(store.folder.names("facts")) == {f"run={r}" for r in store.manifest().runs.values()}
+    # A refresh that meets another one's manifest fails and leaves the store as it was.
+    store.folder.put(f"manifests/{store.manifest().version + 1:012d}.json", store.manifest().text())
+    with pytest.raises(RuntimeError, match="another one"):
+        store.refresh(sales(late), "more")
+    with pytest.raises(ValueError, match="another schema"):
+        store.refresh(sales(late).withColumn("more", F.lit(1)), "other")
+
+
+def test_a_store_deletes_what_it_holds(spark, sales, metrics, initiatives):
+    from liftgauge.params import Periods
+    from liftgauge.plans.campaign import Campaign
+
+    shared = Path(shared_dir(spark).removeprefix("file:"))
+    lines = sales([(c, f"t{c}{m}", f"2019-0{m}-05", "Bags", 1.0, 2.0, "Used") for c in range(9) for m in range(1, 7)])
+    periods = Periods.of("2019-02-01", "2019-02-28", "2019-03-01", "2019-03-31")
+    before = set(shared.rglob("*"))
+    with Campaign(lines, initiatives(1, 2), periods, metrics=metrics) as campaign:
+        assert campaign.result.count() == 23 and campaign.with_arms(campaign.arms).result.count()
+        assert set(shared.rglob("*")) > before
+    assert set(shared.rglob("*")) == before
+    with Store(spark) as outer:
+        table = written(lines, "lines")
+        with Store(spark) as inner:
+            kept = outer.written(written(lines.limit(3), "few"), "kept")
+            assert Path(inner.path.removeprefix("file:")).exists()
+        assert not Path(inner.path.removeprefix("file:")).exists()
+        assert kept.count() == 3 and table.count() == 54
+    assert set(shared.rglob("*")) == before
