@@ -1,11 +1,13 @@
 """Checking SQL (DuckDB) for the registered queries, written apart from the Spark code.
 
 Recency is worked out here over every calendar day of every customer, and p-values by the exact
-series at any size, so that the faster ways the library takes are checked against the plain ones.
+series at any size, so that the faster ways the library takes are checked against the plain ones. `fsum` and `favg` stand
+for sums and means that are exact down to 2**-56 and rounded once; `spelled_out` puts plain SQL in their place.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 
 from liftgauge.catalog.setting import ARMS, METRICS
@@ -15,6 +17,31 @@ M = METRICS.all
 BUCKETS = METRICS.buckets
 
 
+def _closing(sql: str, at: int) -> int:
+    """Where the bracket that opens at `at` closes."""
+    depth = 0
+    for place in range(at, len(sql)):
+        depth += {"(": 1, ")": -1}.get(sql[place], 0)
+        if not depth:
+            return place
+    raise ValueError(f"a bracket stays open: {sql[at:at + 40]}")
+
+
+def spelled_out(sql: str) -> str:
+    """Sums as whole multiples of 2**-56, put together from a high and a low half, each of which a double holds exactly."""
+    while match := re.search(r"\bf(sum|avg)\(", sql):
+        end = _closing(sql, match.end() - 1)
+        value, after = sql[match.end():end], re.match(r" (FILTER|OVER) \(", sql[end + 1:])
+        last = _closing(sql, end + after.end()) if after else end
+        clause = sql[end + 1:last + 1]
+        total = f"sum(CAST(round_even(({value}) * 72057594037927936e0, 0) AS HUGEINT)){clause}"
+        out = f"(CAST({total} // 1099511627776 AS DOUBLE) / 65536e0 + CAST({total} % 1099511627776 AS DOUBLE) / 72057594037927936e0)"
+        if match.group(1) == "avg":
+            out = f"({out} / nullif(count({value}){clause}, 0))"
+        sql = sql[:match.start()] + out + sql[last + 1:]
+    return sql
+
+
 def q(name: str) -> str:
     return f'"{name}"'
 
@@ -55,9 +82,9 @@ def pivot() -> str:
     for b in BUCKETS:
         here = f"FILTER (WHERE Product_Category_Grouped = '{b}')"
         cells += [
-            f"coalesce(sum(Quantity) {here}, 0e0) AS {q('Quantity_' + b)}",
-            f"coalesce(avg(Avg_Price) {here}, 0e0) AS {q('Avg_Price_' + b)}",
-            f"coalesce(sum(Sales) {here}, 0e0) AS {q('Sales_' + b)}",
+            f"coalesce(fsum(Quantity) {here}, 0e0) AS {q('Quantity_' + b)}",
+            f"coalesce(favg(Avg_Price) {here}, 0e0) AS {q('Avg_Price_' + b)}",
+            f"coalesce(fsum(Sales) {here}, 0e0) AS {q('Sales_' + b)}",
             f"coalesce(sum(Coupons) {here}, 0)::DOUBLE AS {q('Coupons_' + b)}",
         ]
     totals = ", ".join(
@@ -71,10 +98,10 @@ pivoted AS (SELECT *, Sales_All / nullif(Quantity_All, 0) AS Price_All FROM pivo
 
 
 def daily() -> str:
-    sums = ", ".join(f"sum({q(m)}) AS {q(m)}" for m in METRICS.additive if m != "Transactions")
+    sums = ", ".join(f"fsum({q(m)}) AS {q(m)}" for m in METRICS.additive if m != "Transactions")
     return f"""daily AS MATERIALIZED (
   SELECT CustomerID, Transaction_Date, Month, Year, count(DISTINCT Transaction_ID) AS Transactions,
-         avg(Price_All) AS Price_All, {sums}
+         favg(Price_All) AS Price_All, {sums}
   FROM pivoted GROUP BY CustomerID, Transaction_Date, Month, Year)"""
 
 
@@ -102,7 +129,7 @@ labelled{tag} AS MATERIALIZED (
 
 
 def features(p: Periods, tag: str = "") -> str:
-    means = ", ".join(f"avg({q(m)}) AS {q(m)}" for m in M)
+    means = ", ".join(f"favg({q(m)}) AS {q(m)}" for m in M)
     return f"""post_recency{tag} AS (
   SELECT CustomerID, date_diff('day', max(Transaction_Date), {day(p.post_end)}) AS Recency
   FROM labelled{tag} WHERE {within('Transaction_Date', p.lookback)} GROUP BY CustomerID),
@@ -130,8 +157,8 @@ IN_ARM = "(promo = 'All' OR promo = Promo_Segment) AND (arms.initiative = 'All'
 
 def days(p: Periods) -> str:
     """armed, calendar, recency and the day table, over `arms`."""
-    means = ", ".join(f"avg({q(m)}) AS {q(m)}" for m in M)
-    totals = ", ".join(f"sum({m}) AS {m}_day" for m in METRICS.day_totals)
+    means = ", ".join(f"favg({q(m)}) AS {q(m)}" for m in M)
+    totals = ", ".join(f"fsum({m}) AS {m}_day" for m in METRICS.day_totals)
     pre, post = p.recency
     return f"""armed AS MATERIALIZED (
   SELECT arm, t.* FROM labelled t JOIN arms ON {IN_ARM}),
@@ -197,14 +224,14 @@ def tests(source: str, keys: list[str], weight: str, plain: list[str], totals: M
     for position, m in enumerate(order):
         x = q(m)
         if m in totals:
-            value, spread, known = f"coalesce(sum({totals[m]}), 0)", "NULL", "count(*)"
+            value, spread, known = f"coalesce(fsum({totals[m]}), 0)", "NULL", "count(*)"
         elif m in plain:
-            value, spread, known = f"avg({x})", f"stddev_samp({x})", f"count({x})"
+            value, spread, known = f"favg({x})", f"stddev_samp({x})", f"count({x})"
         else:
-            value = f"sum({x} * {w}) / nullif(sum({w}), 0)"
+            value = f"fsum({x} * {w}) / nullif(fsum({w}), 0)"
             spread = f"sqrt(sum({w} * ({x} - c.centre) * ({x} - c.centre)) / nullif(sum({w}), 0))"
             known = f"count({x})"
-        centre = f"""(SELECT {ks}, Period, sum({x} * {w}) / nullif(sum({w}), 0) AS centre
+        centre = f"""(SELECT {ks}, Period, fsum({x} * {w}) / nullif(fsum({w}), 0) AS centre
                       FROM {source} GROUP BY ALL)""" if m not in plain and m not in totals else None
         joined = f"{source} s JOIN {centre} c USING ({ks}, Period)" if centre else f"{source} s"
         branches.append(f"""SELECT {ks}, Period, {position} AS position, '{m}' AS Metrics, {value} AS v,
@@ -277,8 +304,8 @@ def real(source: str = "result", out: str = "real_result") -> str:
 
 def shares(source: str = "result", keys: str = "arm, ", out: str = "shares") -> str:
     def one(x):
-        plain = f"round_even(round({x} / nullif(total, 0) * 100 * 100, 6), 0) / 100"
-        signed = f"100 + round_even(round({x} / nullif(abs(total), 0) * 100 * 100, 6), 0) / 100"
+        plain = f"round_even({x} / nullif(total, 0) * 100 * 100, 0) / 100"
+        signed = f"100 + round_even({x} / nullif(abs(total), 0) * 100 * 100, 0) / 100"
         return f"""coalesce(CASE WHEN total = 0 AND {x} <> 0 THEN 100e0
                                  WHEN Metrics = 'Recency' THEN {signed} ELSE {plain} END, 0) AS {x}"""
 
@@ -303,7 +330,7 @@ def formatted(source: str = "result", keys: str = "arm, ", out: str = "formatted
 
 def proportions() -> str:
     compared = [*M, "ActiveCustomer"]
-    means = ", ".join(f"avg({q(m)}) AS {q(m)}" for m in compared)
+    means = ", ".join(f"favg({q(m)}) AS {q(m)}" for m in compared)
     ratio = ", ".join(f"coalesce(t.{q(m)} / nullif(c.{q(m)}, 0), 0) AS {q(m)}" for m in compared)
     return f"""last_pre AS (
   SELECT * FROM days WHERE Period = 'Pre'

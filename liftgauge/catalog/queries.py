@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from liftgauge.catalog import oracle as sql
 from liftgauge.catalog.setting import ARMS, METRICS, PERIODS, WILDCARD_ARMS
 from liftgauge.catalog.shapes import Shape, shown, shown_sql
+from liftgauge.functions.exact import exact_sum
 from liftgauge.functions.student_t import with_two_sided_p
 from liftgauge.operators.cohorts import ARM_KEYS, assign_arms, in_cohort
 from liftgauge.operators.compare import day_sums, real_result
@@ -21,14 +22,16 @@ from liftgauge.operators.days import calendar_recency, customer_calendar
 from liftgauge.operators.facts import enrich, sales_by, transaction_pivot
 from liftgauge.operators.labels import promo_pivot, with_initiative, with_period, with_promo_segment
 from liftgauge.operators.reports import formatted, shares, validation
-from liftgauge.operators.significance import customer_comparison, day_comparison, period_values
+from liftgauge.operators.significance import cells, customer_comparison, day_comparison, moments
 from liftgauge.operators.synthetic import bootstrap, proportions, trailing_means
 from liftgauge.params import POST, Cohort
 from liftgauge.plans.campaign import Campaign
 from liftgauge.session import scratch_path
 from liftgauge.sources import profile
+from liftgauge.sources.fact_store import FactStore
 from liftgauge.sources.sales import (
     CSV_DATE,
+    SALES_CSV,
     initiatives_from_customers,
     order_table,
     read_initiatives_csv,
@@ -36,6 +39,7 @@ from liftgauge.sources.sales import (
     read_sales_parquet,
     rejected_dates,
     sales_from_orders,
+    split_sales_csv,
 )
 from liftgauge.sources.sinks import save_daily_bucketed, save_table
 
@@ -94,7 +98,7 @@ class Query:
 
     @property
     def check_sql(self) -> str | None:
-        return None if self.check is None else shown_sql(self.check, self.shape)
+        return None if self.check is None else shown_sql(sql.spelled_out(self.check), self.shape)
 
 
 QUERIES: dict[str, Query] = {}
@@ -191,6 +195,47 @@ def date_rejects(t: Tables) -> DataFrame:
     return rejected_dates(order_table(t.spark, t.folder, "orders").select(text.alias("Transaction_Date")))
 
 
+# Lines of the next two queries: each order, some with a date, a number or a column that is not as it should be.
+ORDER_LINES = """SELECT o_orderkey, CASE WHEN o_orderkey % 41 = 3 THEN 'another number of columns'
+         WHEN o_custkey % 37 = 5 THEN 'CustomerID does not parse' WHEN o_orderstatus = 'P' THEN 'Transaction_Date does not parse'
+         WHEN o_orderkey % 29 = 7 THEN 'Quantity does not parse' END AS reason, o_custkey, o_orderdate FROM orders"""
+
+
+def _faulty_csv(t: Tables) -> str:
+    path = t.scratch("faulty-csv")
+    order, key = order_table(t.spark, t.folder, "orders"), F.col("o_orderkey")
+    fields = [
+        F.when(F.col("o_custkey") % 37 == 5, F.concat(F.lit("c"), "o_custkey")).otherwise(F.col("o_custkey").cast("string")),
+        key.cast("string"),
+        F.when(F.col("o_orderstatus") == "P", F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise(
+            F.date_format("o_orderdate", "MM/dd/yyyy")),
+        F.lit('"Mugs, large"'),
+        F.when(key % 29 == 7, F.lit("two")).otherwise(F.lit("2")),
+        F.lit("1.5"),
+        F.when(key % 41 == 3, F.lit("Used,more")).otherwise(F.lit("Used")),
+    ]
+    # Whole lines as the one column of a file whose own separator and quote do not occur, under the header.
+    lines = order.select(F.concat_ws(",", *fields).alias(",".join(SALES_CSV.fieldNames())))
+    lines.write.options(header=True, sep="\u0001", quote="\u0002").csv(path)
+    return path
+
+
+@query("sales_csv_refused", {"Transaction_ID": "i", "reason": "s"},
+       f"SELECT o_orderkey AS Transaction_ID, reason FROM ({ORDER_LINES}) WHERE reason IS NOT NULL")
+def sales_csv_refused(t: Tables) -> DataFrame:
+    _, refused = split_sales_csv(t.spark, _faulty_csv(t))
+    return refused.select(F.split("text", ",")[1].alias("Transaction_ID"), "reason")
+
+
+@query("sales_csv_accepted", SALES_LINES,
+       f"""SELECT o_custkey AS CustomerID, o_orderkey AS Transaction_ID, o_orderdate AS Transaction_Date,
+  'Mugs, large' AS Product_Category, 2 AS Quantity, 1.5 AS Avg_Price, 'Used' AS Coupon_Status
+FROM ({ORDER_LINES}) WHERE reason IS NULL""")
+def sales_csv_accepted(t: Tables) -> DataFrame:
+    good, _ = split_sales_csv(t.spark, _faulty_csv(t))
+    return good
+
+
 SALES_TYPES = {
     "CustomerID": "bigint", "Transaction_ID": "bigint", "Transaction_Date": "date", "Product_Category": "string",
     "Quantity": "double", "Avg_Price": "double", "Coupon_Status": "string",
@@ -297,19 +342,19 @@ def customer_day_facts(t: Tables) -> DataFrame:
 
 
 @query("sales_by_year", {"Year": "i", "Sales_All": 2},
-       facts_sql("SELECT Year, sum(Sales_All) AS Sales_All FROM daily GROUP BY ALL"))
+       facts_sql("SELECT Year, fsum(Sales_All) AS Sales_All FROM daily GROUP BY ALL"))
 def sales_by_year(t: Tables) -> DataFrame:
     return sales_by(t.campaign().daily, "Year")
 
 
 @query("sales_by_month", {"Month": "i", "Sales_All": 2},
-       facts_sql("SELECT Month, sum(Sales_All) AS Sales_All FROM daily GROUP BY ALL"))
+       facts_sql("SELECT Month, fsum(Sales_All) AS Sales_All FROM daily GROUP BY ALL"))
 def sales_by_month(t: Tables) -> DataFrame:
     return sales_by(t.campaign().daily, "Month")
 
 
 @query("sales_by_day", {"Transaction_Date": "d", "Month": "i", "Sales_All": 4},
-       facts_sql("SELECT Transaction_Date, Month, sum(Sales_All) AS Sales_All FROM daily GROUP BY ALL"))
+       facts_sql("SELECT Transaction_Date, Month, fsum(Sales_All) AS Sales_All FROM daily GROUP BY ALL"))
 def sales_by_day(t: Tables) -> DataFrame:
     return sales_by(t.campaign().daily, "Transaction_Date", "Month")
 
@@ -369,11 +414,11 @@ def cohort_filter(t: Tables) -> DataFrame:
 
 @query("cohort_wildcards", {"arm": "s", "Period": "s", "customer_days": "i", "Sales_All": 2},
        sql.with_ctes(sql.FACTS, LABELS, sql.arms(WILDCARD_ARMS), select=f"""
-SELECT arm, Period, count(*) AS customer_days, sum(Sales_All) AS Sales_All
+SELECT arm, Period, count(*) AS customer_days, fsum(Sales_All) AS Sales_All
 FROM labelled t JOIN arms ON {sql.IN_ARM} GROUP BY ALL"""))
 def cohort_wildcards(t: Tables) -> DataFrame:
     return assign_arms(t.campaign().labelled, WILDCARD_ARMS).groupBy("arm", "Period").agg(
-        F.count(F.lit(1)).alias("customer_days"), F.sum("Sales_All").alias("Sales_All")
+        F.count(F.lit(1)).alias("customer_days"), F.expr(exact_sum("Sales_All")).alias("Sales_All")
     )
 
 
@@ -381,8 +426,8 @@ def cohort_wildcards(t: Tables) -> DataFrame:
        {"Promo_Segment": "s", "Period": "s", "Transactions_mean": 5, "Quantity_All_mean": 4, "Sales_All_mean": 4,
         "Transactions_sum": "i", "Quantity_All_sum": 2, "Sales_All_sum": 2},
        labels_sql("""SELECT Promo_Segment, Period, avg(Transactions) AS Transactions_mean,
-avg(Quantity_All) AS Quantity_All_mean, avg(Sales_All) AS Sales_All_mean, sum(Transactions) AS Transactions_sum,
-sum(Quantity_All) AS Quantity_All_sum, sum(Sales_All) AS Sales_All_sum FROM labelled GROUP BY ALL"""))
+favg(Quantity_All) AS Quantity_All_mean, favg(Sales_All) AS Sales_All_mean, sum(Transactions) AS Transactions_sum,
+fsum(Quantity_All) AS Quantity_All_sum, fsum(Sales_All) AS Sales_All_sum FROM labelled GROUP BY ALL"""))
 def validation_table(t: Tables) -> DataFrame:
     return validation(t.campaign().labelled)
 
@@ -425,6 +470,36 @@ def _from_stored(t: Tables) -> Campaign:
     return Campaign.from_daily(kept, t.initiatives, MAIN, ARMS, METRICS)
 
 
+@query("refreshed_facts",
+       {"CustomerID": "i", "Transaction_Date": "d", "Month": "i", "Year": "i", **{m: 6 for m in M}},
+       facts_sql("SELECT * FROM daily"))
+def refreshed_facts(t: Tables) -> DataFrame:
+    """Facts of a first delivery with faults, then late lines of old and new days, then corrections of transactions."""
+    return _refreshed(t).daily()
+
+
+def _refreshed(t: Tables) -> FactStore:
+    key = F.col("Transaction_ID")
+    late, faulty = key % 7 == 3, key % 11 == 5
+    lines = t.sales
+    wrong = F.when(F.col("Product_Category") == "PROMO", F.date_add("Transaction_Date", 40)).otherwise(F.col("Transaction_Date"))
+    store = FactStore(t.spark, t.scratch("fact-store"), METRICS, buckets=4)
+    store.refresh(
+        lines.where(~late).withColumns({
+            "Quantity": F.when(faulty, F.col("Quantity") * 3).otherwise(F.col("Quantity")),
+            "Transaction_Date": F.when(faulty, wrong).otherwise(F.col("Transaction_Date")),
+        }), "first")
+    store.refresh(lines.where(late & ~faulty), "late")
+    store.refresh(lines.where(faulty), "corrections", corrects=True)
+    return store
+
+
+@query("refreshed_result", ARM_RESULT, result_sql(select="SELECT * FROM result"))
+def refreshed_result(t: Tables) -> DataFrame:
+    """An analysis that starts from refreshed facts."""
+    return Campaign.from_daily(_refreshed(t).daily(), t.initiatives, MAIN, ARMS, METRICS).result
+
+
 @query("stored_result_main", ARM_RESULT, result_sql(select="SELECT * FROM result"))
 def stored_result_main(t: Tables) -> DataFrame:
     return _from_stored(t).result
@@ -469,23 +544,16 @@ def customer_calendar_query(t: Tables) -> DataFrame:
 LONG_VALUES: Shape = {"arm": "s", "Period": "s", "Metrics": "s", "value": 4}
 
 
-def _long_values(rows: DataFrame, how) -> DataFrame:
-    wide = period_values(rows, ARM_KEYS, how)
-    names = [n for n in wide.columns if n not in ("arm", "Period")]
-    as_double = wide.select("arm", "Period", *[sql_name(n).cast("double").alias(n) for n in names])
-    return as_double.unpivot(["arm", "Period"], [sql_name(n) for n in names], "Metrics", "value")
-
-
 def _values_sql(source: str, how) -> str:
     w = sql.q(how.weight)
     parts = []
     for m in how.order:
         if m in how.totals:
-            value = f"sum({how.totals[m].replace('`', chr(34))})"
+            value = f"fsum({how.totals[m].replace('`', chr(34))})"
         elif m in how.plain:
-            value = f"avg({sql.q(m)})"
+            value = f"favg({sql.q(m)})"
         else:
-            value = f"sum({sql.q(m)} * {w}) / sum({w})"
+            value = f"fsum({sql.q(m)} * {w}) / fsum({w})"
         parts.append(f"SELECT arm, Period, '{m}' AS Metrics, {value} AS value FROM {source} GROUP BY ALL")
     return " UNION ALL ".join(parts)
 
@@ -493,12 +561,13 @@ def _values_sql(source: str, how) -> str:
 @query("customer_weighted_means", LONG_VALUES,
        players_sql(select=_values_sql("armed_players", customer_comparison(METRICS))))
 def customer_weighted_means(t: Tables) -> DataFrame:
-    return _long_values(assign_arms(t.campaign(keep=False).customers, ARMS), customer_comparison(METRICS))
+    return moments(assign_arms(t.campaign(keep=False).customer_cells, ARMS), ARM_KEYS, customer_comparison(METRICS))
 
 
 @query("day_weighted_means", LONG_VALUES, days_sql(select=_values_sql("days", day_comparison(METRICS))))
 def day_weighted_means(t: Tables) -> DataFrame:
-    return _long_values(t.campaign(keep=False).days, day_comparison(METRICS))
+    how = day_comparison(METRICS)
+    return moments(cells(t.campaign(keep=False).days, ARM_KEYS, how), ARM_KEYS, how)
 
 
 @query("customer_tests", TEST_TABLE, players_sql(sql.customer_tests(), select="SELECT * FROM customer_tests"))
@@ -579,8 +648,8 @@ def _delta_sql() -> str:
         scale = 100 if m == "Frequency%" else 1
         post, pre = f"b.{sql.q(m)}", f"a.{sql.q(m)}"
         shown_columns += [
-            f"round_even(round({post} * {scale} * 100, 6), 0) / 100 AS {sql.q(m + '_post')}",
-            f"round_even(round(({post} - {pre}) * {scale} * 100, 6), 0) / 100 AS {sql.q(m + '_D')}",
+            f"round_even({post} * {scale} * 100, 0) / 100 AS {sql.q(m + '_post')}",
+            f"round_even(({post} - {pre}) * {scale} * 100, 0) / 100 AS {sql.q(m + '_D')}",
         ]
     return f"""SELECT arm, arms.promo AS Promo_Segment, arms.initiative AS Initiative, CustomerID,
   {', '.join(shown_columns)}
@@ -604,7 +673,7 @@ def customers_who_spent_more(t: Tables) -> DataFrame:
 
 
 @query("day_sums", {"Transaction_Date": "d", "Period": "s", **{m: 4 for m in M}},
-       labels_sql(f"SELECT Transaction_Date, Period, {', '.join(f'sum({sql.q(m)}) AS {sql.q(m)}' for m in M)} "
+       labels_sql(f"SELECT Transaction_Date, Period, {', '.join(f'fsum({sql.q(m)}) AS {sql.q(m)}' for m in M)} "
                   "FROM dated GROUP BY ALL"))
 def day_sums_query(t: Tables) -> DataFrame:
     return day_sums(_dated(t), METRICS)
@@ -612,7 +681,7 @@ def day_sums_query(t: Tables) -> DataFrame:
 
 def _register_timeline(metric: str) -> None:
     @query(f"timeline_{metric.lower()}", {"Period": "s", "Transaction_Date": "d", "value": 4},
-           labels_sql(f"SELECT Period, Transaction_Date, sum({metric}) AS value FROM dated GROUP BY ALL"))
+           labels_sql(f"SELECT Period, Transaction_Date, fsum({metric}) AS value FROM dated GROUP BY ALL"))
     def timeline(t: Tables) -> DataFrame:
         return t.campaign().timeline(metric)
 
@@ -628,7 +697,7 @@ def _register_rolling(metric: str, rows: int) -> None:
     @query(f"test_vs_control_{metric.lower()}_{rows}",
            {"arm": "s", "Period": "s", "Transaction_Date": "d", "value": 5, "moving_average": 5},
            days_sql(select=f"""SELECT arm, Period, Transaction_Date, {name} AS value,
-  CASE WHEN count({name}) OVER {frame} = {rows} THEN avg({name}) OVER {frame} END AS moving_average FROM days"""))
+  CASE WHEN count({name}) OVER {frame} = {rows} THEN favg({name}) OVER {frame} END AS moving_average FROM days"""))
     def rolling(t: Tables) -> DataFrame:
         return t.campaign(keep=False).test_vs_control(metric, rows)
 

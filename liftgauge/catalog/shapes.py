@@ -1,8 +1,7 @@
 """How the columns of a registered query are shown, on Spark and in the checking SQL alike.
 
 A shape maps each column to "i" (whole number), "s" (text), "d" (day) or the number of decimals of a
-floating-point column. Floating-point sums depend on the order of their rows, so they are rounded;
-and as means of cent amounts often end exactly on a five, the rounding is set a little off the half.
+floating-point column. Both sides add up exactly, so a rounding in one step, half to even, falls alike.
 """
 
 from __future__ import annotations
@@ -14,8 +13,6 @@ from pyspark.sql import functions as F
 
 from liftgauge.params import quoted
 
-OFF_HALF = 0.17
-
 Shape = Mapping[str, str | int]
 
 
@@ -28,7 +25,7 @@ def shown(df: DataFrame, shape: Shape) -> DataFrame:
             return f"string({text})"
         if kind == "d":
             return f"date_format({text}, 'yyyy-MM-dd')"
-        return f"round(double({text}) + {OFF_HALF}e-{kind}D, {kind}) + 0D"
+        return f"rint(double({text}) * 1e{kind}D) / 1e{kind}D + 0D"
 
     return df.select(*[F.expr(column(n, k)).alias(n) for n, k in shape.items()])
 
@@ -42,7 +39,7 @@ def shown_sql(sql: str, shape: Shape) -> str:
             return f'CAST("{name}" AS VARCHAR) AS "{name}"'
         if kind == "d":
             return f"""strftime(CAST("{name}" AS DATE), '%Y-%m-%d') AS "{name}\""""
-        return f'round(CAST("{name}" AS DOUBLE) + {OFF_HALF}e-{kind}, {kind}) + 0e0 AS "{name}"'
+        return f'round_even(CAST("{name}" AS DOUBLE) * 1e{kind}, 0) / 1e{kind} + 0e0 AS "{name}"'
 
     columns = ", ".join(column(n, k) for n, k in shape.items())
     return f"SELECT {columns} FROM ({sql}) AS answer"

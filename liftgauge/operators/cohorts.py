@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from liftgauge.params import ALL, Cohort
 
+# What a customer is chosen by.
+COHORT_GROUPS = ["Promo_Segment", "Initiative"]
 ARM_KEYS = ["arm"]
 # The flag keeps the wildcard apart from an initiative that happens to be called All.
 GRID_KEYS = ["promo_choice", "initiative_choice", "any_initiative"]
@@ -33,20 +35,3 @@ def assign_all_cohorts(rows: DataFrame) -> DataFrame:
         for initiative, wildcard in ((F.col("Initiative"), False), (F.lit(ALL), True))
     ]
     return rows.withColumn("_choice", F.explode(F.array(*choice))).select("*", "_choice.*").drop("_choice")
-
-
-def join_group_values(
-    rows: DataFrame, values: DataFrame, keys: list[str], spread_by: str, few_groups: bool
-) -> DataFrame:
-    """Give each row the values of its group.
-
-    Where the caller vouches for a handful of groups they are broadcast. Otherwise the join is left to Spark, with the
-    rows of each group spread over as many salts as there are shuffle partitions, since one group may
-    hold most of them.
-    """
-    if few_groups:
-        return rows.join(F.broadcast(values), keys)
-    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    salted_rows = rows.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int"))
-    salted_values = values.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return salted_rows.join(salted_values, [*keys, "_salt"]).drop("_salt")

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from liftgauge.functions.exact import exact_avg
 from liftgauge.functions.formatting import fixed2_percent
-from liftgauge.params import CONTROL, TEST, Metrics, named
+from liftgauge.operators.facts import total
+from liftgauge.params import CONTROL, TEST, Metrics, named, quoted
 
 
 def day_sums(dated: DataFrame, metrics: Metrics) -> DataFrame:
     """Every metric summed per day and period."""
-    return dated.groupBy("Transaction_Date", "Period").agg(*[F.sum(named(m)).alias(m) for m in metrics.all])
+    return dated.groupBy("Transaction_Date", "Period").agg(*[total(m, metrics).alias(m) for m in metrics.all])
 
 
 def timeline(dated: DataFrame, metric: str, metrics: Metrics) -> DataFrame:
@@ -21,14 +22,15 @@ def timeline(dated: DataFrame, metric: str, metrics: Metrics) -> DataFrame:
 
 def rolling_mean(days: DataFrame, keys: list[str], metric: str, rows: int) -> DataFrame:
     """Mean over the last `rows` active days; null until that many values are there."""
-    frame = W.partitionBy(*keys, "Period").orderBy("Transaction_Date").rowsBetween(1 - rows, 0)
-    value = named(metric)
+    frame = f"""OVER (PARTITION BY {", ".join(map(quoted, [*keys, "Period"]))} ORDER BY Transaction_Date
+                     ROWS BETWEEN {rows - 1} PRECEDING AND CURRENT ROW)"""
+    value = quoted(metric)
     return days.select(
         *keys,
         "Period",
         "Transaction_Date",
-        value.alias("value"),
-        F.when(F.count(value).over(frame) == rows, F.avg(value).over(frame)).alias("moving_average"),
+        F.col(value).alias("value"),
+        F.expr(f"CASE WHEN count({value}) {frame} = {rows} THEN {exact_avg(value, frame)} END").alias("moving_average"),
     )
 
 

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from liftgauge.functions.scalar import period_days, round2
 from liftgauge.operators.cohorts import assign_arms
-from liftgauge.params import OUT, POST, PRE, Cohort, Metrics, Periods, named, quoted
+from liftgauge.operators.facts import mean
+from liftgauge.params import OUT, POST, PRE, Cohort, Metrics, Periods, named
 
 
 def customer_features(marked: DataFrame, metrics: Metrics, periods: Periods) -> DataFrame:
@@ -24,7 +25,7 @@ def customer_features(marked: DataFrame, metrics: Metrics, periods: Periods) ->
         marked.where(F.col("Period") != OUT)
         .groupBy("Period", "CustomerID", "Promo_Segment", "Initiative")
         .agg(
-            *[F.avg(quoted(m)).alias(m) for m in metrics.all],
+            *[mean(m, metrics).alias(m) for m in metrics.all],
             F.count("Transaction_Date").alias("_active_days"),
             F.max("Transaction_Date").alias("_last_day"),
             F.max("last_in_lookback").alias("_last_in_lookback"),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from liftgauge.functions.exact import parts, whole
 from liftgauge.functions.scalar import period_of
 from liftgauge.params import OUT, POST, PRE, Metrics, Periods, named, quoted
 
@@ -14,13 +15,14 @@ def day_cube(marked: DataFrame, metrics: Metrics) -> DataFrame:
     """Sums per day, segment and initiative: all that any cohort's day table needs.
 
     One pass over the facts with map-side sums; the result has no more rows than days times
-    segments times initiatives, whatever the number of customers.
+    segments times initiatives, whatever the number of customers. Sums that are not whole numbers are kept in their
+    exact parts, so that cohorts can be added up from them.
     """
     return (
         marked.where((F.col("Period") != OUT) | (F.col("recency_period") != OUT))
         .groupBy("Promo_Segment", "Initiative", "Transaction_Date")
         .agg(
-            *[F.sum(quoted(m)).alias(m) for m in metrics.all],
+            *[F.expr(f"sum({value})").alias(name) for m in metrics.all for name, value in _added(m, metrics).items()],
             F.count(F.lit(1)).alias("_rows"),
             F.count("Price_All").alias("_priced"),
             F.sum("recency_entry").alias("_entries"),
@@ -29,10 +31,21 @@ def day_cube(marked: DataFrame, metrics: Metrics) -> DataFrame:
     )
 
 
+def _added(metric: str, metrics: Metrics) -> dict[str, str]:
+    """The whole numbers that are added up for a metric, by column name."""
+    if metric in metrics.counts:
+        return {metric: quoted(metric)}
+    return {f"{metric}|{place}": part for place, part in enumerate(parts(quoted(metric)))}
+
+
 def day_features(cube: DataFrame, keys: list[str], metrics: Metrics, periods: Periods) -> DataFrame:
     """Day table of each group in `keys`, from a cube whose rows were assigned to those groups."""
-    measures = [*metrics.all, "_rows", "_priced", "_entries", "_steps"]
-    days = cube.groupBy(*keys, "Transaction_Date").agg(*[F.sum(quoted(m)).alias(m) for m in measures])
+    sums = {
+        m: f"sum({quoted(m)})" if m in metrics.counts
+        else whole(*(f"sum({quoted(name)})" for name in _added(m, metrics)))
+        for m in metrics.all
+    } | {m: f"sum({m})" for m in ("_rows", "_priced", "_entries", "_steps")}
+    days = cube.groupBy(*keys, "Transaction_Date").agg(*[F.expr(value).alias(m) for m, value in sums.items()])
     in_period = W.partitionBy(*keys, "Period")
     counts = {m: "_priced" if m == "Price_All" else "_rows" for m in metrics.all}
     return (
@@ -77,32 +90,32 @@ def _with_recency(days: DataFrame, keys: list[str], periods: Periods) -> DataFra
     return days.withColumns({"_pre_recency": mean_recency(PRE, pre), "_post_recency": mean_recency(POST, post)})
 
 
-def customer_calendar(marked: DataFrame, periods: Periods, keys: list[str]) -> DataFrame:
-    """Every day of each customer from the first active day of a recency window to its end.
+def active_runs(marked: DataFrame, periods: Periods, keys: list[str]) -> DataFrame:
+    """The calendar of each customer as runs: from an active day to the day before the next one, the last to the window's end.
 
-    last_seen is the customer's latest active day up to that day.
+    `last_seen` is the run's first day, `until` its last. There is a run for each active day, however long the windows are.
     """
     pre, post = periods.recency
-    active = marked.where(F.col("recency_period") != OUT).select(
-        *keys, "CustomerID", F.col("recency_period").alias("Period"), "Transaction_Date"
-    )
-    group = [*keys, "Period", "CustomerID"]
-    window_end = F.when(F.col("Period") == PRE, F.lit(pre.end)).otherwise(F.lit(post.end))
-    calendar = (
-        active.groupBy(*group)
-        .agg(F.min("Transaction_Date").alias("_first"))
-        .withColumn("Transaction_Date", F.explode(F.sequence("_first", window_end, F.expr("INTERVAL 1 DAY"))))
-        .drop("_first")
-    )
-    seen = active.withColumn("_seen", F.col("Transaction_Date"))
-    up_to_day = W.partitionBy(*group).orderBy("Transaction_Date").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        calendar.join(seen, [*group, "Transaction_Date"], "left")
-        .withColumn("last_seen", F.last("_seen", ignorenulls=True).over(up_to_day))
-        .drop("_seen")
+    window_end = F.when(F.col("recency_period") == PRE, F.lit(pre.end)).otherwise(F.lit(post.end))
+    in_order = W.partitionBy(*keys, "recency_period", "CustomerID").orderBy("Transaction_Date")
+    following = F.date_sub(F.lead("Transaction_Date").over(in_order), 1)
+    return marked.where(F.col("recency_period") != OUT).select(
+        *keys, F.col("recency_period").alias("Period"), "CustomerID", F.col("Transaction_Date").alias("last_seen"),
+        F.coalesce(following, window_end).alias("until"),
     )
 
 
+def customer_calendar(marked: DataFrame, periods: Periods, keys: list[str]) -> DataFrame:
+    """Every day of each customer from the first active day of a recency window to its end.
+
+    last_seen is the customer's latest active day up to that day. Each run is spread over its days by itself: the days are neither
+    joined with the active ones nor filled up along a window.
+    """
+    runs = active_runs(marked, periods, keys)
+    day = F.explode(F.sequence("last_seen", "until", F.expr("INTERVAL 1 DAY"))).alias("Transaction_Date")
+    return runs.select(*keys, "Period", "CustomerID", "last_seen", day)
+
+
 def calendar_recency(calendar: DataFrame, keys: list[str]) -> DataFrame:
     """Mean day recency in the long way, row by row of the calendar."""
     distance = -F.datediff("Transaction_Date", "last_seen")

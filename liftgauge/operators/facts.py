@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from liftgauge.functions.exact import exact_avg, exact_sum, parts, whole
 from liftgauge.functions.scalar import category_bucket, coupon_used, sales_amount
 from liftgauge.params import Metrics, quoted, text_literal
 
@@ -26,17 +27,25 @@ def transaction_pivot(enriched: DataFrame, metrics: Metrics) -> DataFrame:
     The buckets are columns of one conditional aggregation: a single shuffle, combined on the map
     side, so that a transaction with very many lines still arrives as one row per map task.
     """
+    measures = ("Quantity", "Avg_Price", "Sales")
+    # Cut once for a line, not for each bucket.
+    cut = {f"_{m}{n}": part for m in measures for n, part in enumerate(parts(m))}
+
+    def added(measure: str, here: str) -> str:
+        return whole(*(f"sum(_{measure}{n}) {here}" for n in range(3)))
+
     cells = []
     for name in metrics.buckets:
         here = f"FILTER (WHERE Product_Category_Grouped = {text_literal(name)})"
         cells += [
-            F.expr(f"coalesce(sum(Quantity) {here}, 0D)").alias(f"Quantity_{name}"),
-            F.expr(f"coalesce(avg(Avg_Price) {here}, 0D)").alias(f"Avg_Price_{name}"),
-            F.expr(f"coalesce(sum(Sales) {here}, 0D)").alias(f"Sales_{name}"),
+            F.expr(f"coalesce({added('Quantity', here)}, 0D)").alias(f"Quantity_{name}"),
+            F.expr(f"coalesce(try_divide({added('Avg_Price', here)}, count(Avg_Price) {here}), 0D)").alias(f"Avg_Price_{name}"),
+            F.expr(f"coalesce({added('Sales', here)}, 0D)").alias(f"Sales_{name}"),
             F.expr(f"double(count_if(Coupons = 1) {here})").alias(f"Coupons_{name}"),
         ]
     keys = ["CustomerID", "Transaction_ID", "Transaction_Date"]
-    pivot = enriched.dropna(subset=keys).groupBy(*keys).agg(*cells)
+    lines = enriched.dropna(subset=keys).withColumns({name: F.expr(part) for name, part in cut.items()})
+    pivot = lines.groupBy(*keys).agg(*cells)
     totals = {
         f"{measure}_All": F.expr(" + ".join(map(quoted, metrics.by_bucket(measure))))
         for measure in ("Quantity", "Sales", "Coupons")
@@ -48,16 +57,28 @@ def transaction_pivot(enriched: DataFrame, metrics: Metrics) -> DataFrame:
     )
 
 
+def total(metric: str, metrics: Metrics, over: str = "") -> Column:
+    """The sum of a metric, the same for any order of its rows."""
+    name = quoted(metric)
+    return F.expr(f"sum({name}) {over}" if metric in metrics.counts else exact_sum(name, over))
+
+
+def mean(metric: str, metrics: Metrics, over: str = "") -> Column:
+    """The mean of a metric, the same for any order of its rows."""
+    name = quoted(metric)
+    return F.expr(f"avg({name}) {over}" if metric in metrics.counts else exact_avg(name, over))
+
+
 def customer_days(pivot: DataFrame, metrics: Metrics) -> DataFrame:
     """The core fact table: one row per customer and day.
 
     Each pivot row is a different transaction of its customer and day, so a count is the number of
     distinct transactions.
     """
-    sums = [F.sum(quoted(m)).alias(m) for m in metrics.additive if m != "Transactions"]
+    sums = [total(m, metrics).alias(m) for m in metrics.additive if m != "Transactions"]
     daily = pivot.groupBy("CustomerID", "Transaction_Date").agg(
         F.count("Transaction_ID").alias("Transactions"),
-        F.avg("Price_All").alias("Price_All"),
+        F.expr(exact_avg("Price_All")).alias("Price_All"),
         *sums,
     )
     return daily.select(
@@ -75,4 +96,4 @@ def daily_facts(sales: DataFrame, metrics: Metrics) -> DataFrame:
 
 def sales_by(daily: DataFrame, *keys: str) -> DataFrame:
     """Sales by year, by month, or by day."""
-    return daily.groupBy(*keys).agg(F.sum("Sales_All").alias("Sales_All"))
+    return daily.groupBy(*keys).agg(F.expr(exact_sum("Sales_All")).alias("Sales_All"))

@@ -95,7 +95,31 @@ def with_recency_marks(dated: DataFrame, periods: Periods) -> DataFrame:
     )
 
 
+def with_switch_marks(dated: DataFrame, periods: Periods) -> DataFrame:
+    """What the synthetic control needs to know of the days close to the switch.
+
+    switch_segment: the customer's segment by the coupons used in those days; switch_entry: 1 on the customer's first day of
+    them before the switch.
+    """
+    near = periods.around_switch()
+    day = F.col("Transaction_Date")
+    place = period_of(day, near.pre, near.post)
+
+    def used(period):
+        return F.coalesce(F.sum(F.when(place == period, F.col("Coupons_All"))).over(_by_customer()), F.lit(0.0))
+
+    first = F.min(F.when(place == PRE, day)).over(_by_customer())
+    return (
+        dated.withColumns({"_near_pre": used(PRE), "_near_post": used(POST), "_near_first": first})
+        .withColumns({
+            "switch_segment": promo_segment(F.col("_near_pre"), F.col("_near_post")),
+            "switch_entry": F.when(day == F.col("_near_first"), 1).otherwise(0),
+        })
+        .drop("_near_pre", "_near_post", "_near_first")
+    )
+
+
 def mark(daily: DataFrame, initiatives: DataFrame, periods: Periods) -> DataFrame:
-    """Labels and recency marks together, with one shuffle and one sort by customer."""
+    """Labels, recency marks and switch marks together, with one shuffle and one sort by customer."""
     dated = with_initiative(with_period(daily, periods), initiatives)
-    return with_promo_segment(with_recency_marks(dated, periods))
+    return with_switch_marks(with_promo_segment(with_recency_marks(dated, periods)), periods)

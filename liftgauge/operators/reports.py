@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from liftgauge.functions.exact import exact_avg, exact_sum
 from liftgauge.functions.formatting import metric_text
 from liftgauge.functions.scalar import direction, distance_share, share
 from liftgauge.operators.significance import tested
@@ -65,7 +66,8 @@ def share_range(share_table: DataFrame, keys: list[str]) -> DataFrame:
 
 def validation(labelled: DataFrame) -> DataFrame:
     """Means and sums per segment and period, to check the labels by eye."""
-    checked = ("Transactions", "Quantity_All", "Sales_All")
+    counted, added = ("Transactions",), ("Quantity_All", "Sales_All")
     return labelled.groupBy("Promo_Segment", "Period").agg(
-        *[F.avg(m).alias(f"{m}_mean") for m in checked], *[F.sum(m).alias(f"{m}_sum") for m in checked]
+        *[F.avg(m).alias(f"{m}_mean") for m in counted], *[F.expr(exact_avg(m)).alias(f"{m}_mean") for m in added],
+        *[F.sum(m).alias(f"{m}_sum") for m in counted], *[F.expr(exact_sum(m)).alias(f"{m}_sum") for m in added],
     )

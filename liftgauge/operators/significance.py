@@ -1,7 +1,8 @@
 """Pre against post, metric by metric, with one-sample t tests.
 
-The sample of a test is the post rows, the hypothesised mean is the pre value. Metrics stay columns
-while rows are aggregated; only the one row per group that is left gets turned into a row per metric.
+The sample of a test is the post rows, the hypothesised mean is the pre value. Metrics stay columns while rows are
+aggregated, once and into moments that can be merged; what is left becomes a row per metric, and every cohort is
+merged from those.
 """
 
 from __future__ import annotations
@@ -13,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from liftgauge.functions.exact import parts, whole
 from liftgauge.functions.formatting import relative_change, signed_change
 from liftgauge.functions.student_t import with_two_sided_p
-from liftgauge.operators.cohorts import join_group_values
-from liftgauge.params import POST, PRE, Metrics, named, quoted, text_literal
+from liftgauge.params import POST, PRE, Metrics, quoted, text_literal
 
 ALPHA = 0.05
 
@@ -33,8 +34,6 @@ class Comparison:
     order: list[str]
     # whether Var% is taken from the size of the pre value, which differs below zero
     signed: bool
-    # the column that tells the rows of a group apart
-    spread_by: str
     # whether a group has few rows, as many as there are days at most
     small: bool
 
@@ -54,7 +53,7 @@ def customer_comparison(metrics: Metrics) -> Comparison:
     totals = {"Customers_Period": "1"}
     return Comparison(
         "Frequency%", metrics.all, plain, totals, [*metrics.all, *plain, *totals],
-        signed=False, spread_by="CustomerID", small=False,
+        signed=False, small=False,
     )
 
 
@@ -63,90 +62,88 @@ def day_comparison(metrics: Metrics) -> Comparison:
     totals = {"DaysCount_Period": "1"} | {f"{m}_Period": quoted(f"{m}_day") for m in metrics.day_totals}
     return Comparison(
         "ActiveCustomer%", metrics.all, plain, totals, [*totals, *metrics.all, *plain],
-        signed=True, spread_by="Transaction_Date", small=True,
+        signed=True, small=True,
     )
 
 
-def _weighted_mean(m: str, weight: str) -> str:
-    # A missing value is left out of the sum but its weight stays in the divisor.
-    return f"try_divide(sum({quoted(m)} * {quoted(weight)}), sum({quoted(weight)}))"
+TOTAL, WEIGHT = [f"total{n}" for n in range(3)], [f"weight{n}" for n in range(3)]
 
 
-def period_values(rows: DataFrame, keys: list[str], how: Comparison) -> DataFrame:
-    """Weighted means, plain means and totals, one row per group and period."""
-    return rows.groupBy(*keys, "Period").agg(
-        *[F.expr(_weighted_mean(m, how.weight)).alias(m) for m in how.weighted],
-        *[F.avg(quoted(m)).alias(m) for m in how.plain],
-        *[F.expr(f"double(sum({value}))").alias(name) for name, value in how.totals.items()],
-    )
-
-
-def _mean_name(m: str) -> str:
-    return f"{m}|mean"
-
+def cells(rows: DataFrame, groups: list[str], how: Comparison) -> DataFrame:
+    """Moments that can be merged: a row for each group, period, weight and metric, out of one pass over the rows.
 
-def _beside_mean(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool) -> DataFrame:
-    """The rows with the weighted means of their group and period.
-
-    Deviations are then taken from the mean itself, which keeps their precision where the spread is
-    small against the mean.
+    `rows` counts the rows and `known` those with a value; the weighted sum of the values and the weights of all rows are kept in
+    their exact parts. `known_weight` is the weight of the known values, `off` the weighted sum of their squared distances
+    from their own mean. Rows of one weight are combined on the map side, as their weighted distances are the plain
+    ones times the weight; a group has no more weights than the period has days. Totals and plain metrics have weight 1.
+    """
+    # Each row is a cell of its own where they are few.
+    add = (lambda x: x) if how.small else (lambda x: f"sum({x})")
+    values, entries = [F.expr("1L" if how.small else "count(1)").alias("rows")], []
+    for position, m in enumerate(how.order):
+        name, weight = quoted(m), quoted(how.weight) if m in how.weighted else "1D"
+        if m in how.totals:
+            name = f"double({how.totals[m]})"
+        known = f"if({name} IS NULL, 0L, 1L)" if how.small else f"count({name})"
+        off = "0D" if how.small or m in how.totals else f"var_pop({name}) * count({name})"
+        summed = [add(part) for part in parts(f"{name} * {weight}" if m in how.weighted else name)]
+        values += [F.expr(x).alias(f"_{n}{position}") for n, x in zip(("known", "off", *TOTAL), (known, off, *summed), strict=True)]
+        fields = {
+            "position": position, "Metrics": text_literal(m), "known": f"_known{position}",
+            "known_weight": f"double({weight}) * _known{position}", "off": f"double({weight}) * coalesce(_off{position}, 0D)",
+            **{n: f"coalesce(_{n}{position}, 0L)" for n in TOTAL},
+            **{n: f"{part} * rows" for n, part in zip(WEIGHT, parts(f"double({weight})"), strict=True)},
+        }
+        entries.append("named_struct(" + ", ".join(f"'{n}', {x}" for n, x in fields.items()) + ")")
+    keys = [*groups, "Period", *([how.weight] if how.weighted else [])]
+    named_keys = [quoted(k) for k in keys]
+    wide = rows.select(*named_keys, *values) if how.small else rows.groupBy(*named_keys).agg(*values)
+    return wide.select(*groups, "Period", "rows", F.expr(f"inline(array({', '.join(entries)}))"))
+
+
+def merged(parted: DataFrame, keys: list[str]) -> DataFrame:
+    """The cells of each group as one.
+
+    Means come together by their weights; to the squared distances comes that of each part's mean from the common one, so
+    that nothing is lost where the spread is small against the mean.
     """
-    if not how.weighted:
-        return rows
-    if how.small:
-        group = W.partitionBy(*keys, "Period")
-        sums = {_mean_name(m): F.sum(named(m) * named(how.weight)).over(group) for m in how.weighted}
-        weight = F.sum(named(how.weight)).over(group)
-        return rows.withColumns({name: F.try_divide(total, weight) for name, total in sums.items()})
-    means = rows.groupBy(*keys, "Period").agg(
-        *[F.expr(_weighted_mean(m, how.weight)).alias(_mean_name(m)) for m in how.weighted]
+    group = W.partitionBy(*keys, "Period", "position")
+    common = F.try_divide(F.sum("_total").over(group), F.sum("known_weight").over(group))
+    apart = F.expr("off + coalesce(known_weight * pow(try_divide(_total, known_weight) - _common, 2), 0D)")
+    added = ["rows", "known", "known_weight", "off", *TOTAL, *WEIGHT]
+    return (
+        parted.withColumn("_total", F.expr(whole(*TOTAL))).withColumn("_common", common).withColumn("off", apart)
+        .groupBy(*keys, "Period", "position", "Metrics").agg(*[F.sum(n).alias(n) for n in added])
     )
-    return join_group_values(rows, means, [*keys, "Period"], how.spread_by, few_groups)
 
 
-def _moments(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool) -> DataFrame:
-    """Per group, period and metric: value, spread, rows and missing values.
+def moments(parted: DataFrame, keys: list[str], how: Comparison) -> DataFrame:
+    """Per group, period and metric: value, spread, rows and known values.
 
-    The spread is the population form around the weighted mean for weighted metrics, the sample form
-    for the plain ones. Rows are aggregated with the metrics as columns; only the single row left per
-    group and period becomes a row per metric.
-    """
-    weight = quoted(how.weight)
-    values, entries = [F.count(F.lit(1)).alias("_n")], []
-    for position, m in enumerate(how.order):
-        name = quoted(m)
-        if m in how.totals:
-            value, spread, known = f"double(sum({how.totals[m]}))", "double(null)", "count(1)"
-        elif m in how.plain:
-            value, spread, known = f"avg({name})", f"stddev_samp({name})", f"count({name})"
-        else:
-            off = f"({name} - {quoted(_mean_name(m))})"
-            value = _weighted_mean(m, how.weight)
-            spread = f"sqrt(try_divide(sum({weight} * {off} * {off}), sum({weight})))"
-            known = f"count({name})"
-        values += [
-            F.expr(value).alias(f"_value{position}"),
-            F.expr(spread).alias(f"_spread{position}"),
-            F.expr(known).alias(f"_known{position}"),
-        ]
-        entries.append(f"""named_struct('position', {position}, 'Metrics', {text_literal(m)},
-            '_value', _value{position}, '_spread', _spread{position}, '_known', _known{position})""")
-    wide = _beside_mean(rows, keys, how, few_groups).groupBy(*keys, "Period").agg(*values)
-    return wide.select(*keys, "Period", "_n", F.expr(f"inline(array({', '.join(entries)}))"))
-
-
-def paired_values(rows: DataFrame, keys: list[str], how: Comparison, few_groups: bool = False) -> DataFrame:
-    """Pre and post value of each metric, with what its test needs to know of the post rows.
-
-    `few_groups` says that the groups are few enough to broadcast a row for each.
+    A missing value is left out of a weighted sum, but its weight stays in the divisor. The spread is the population form
+    around that mean for weighted metrics, the sample form for the plain ones.
     """
+    metric = F.col("Metrics")
+    is_total, plain = metric.isin(*how.totals), metric.isin(*how.plain)
+    by_weight = F.try_divide("total", "weight")
+    value = F.when(is_total, F.col("total")).when(plain, F.try_divide("total", "known")).otherwise(by_weight)
+    shifted = F.col("known_weight") * F.pow(F.try_divide("total", "known_weight") - by_weight, F.lit(2))
+    around = F.try_divide(F.col("off") + F.coalesce(shifted, F.lit(0.0)), F.col("weight"))
+    sample = F.try_divide("off", F.nullif(F.greatest(F.col("known") - 1, F.lit(0)), F.lit(0)))
+    return merged(parted, keys).withColumns({"total": F.expr(whole(*TOTAL)), "weight": F.expr(whole(*WEIGHT))}).select(
+        *keys, "Period", "position", "Metrics", F.when(is_total | (F.col("known") > 0), value).alias("value"),
+        F.when(~is_total, F.sqrt(F.when(plain, sample).otherwise(around))).alias("spread"), "rows", "known")
+
+
+def paired_values(parted: DataFrame, keys: list[str], how: Comparison) -> DataFrame:
+    """Pre and post value of each metric, with what its test needs to know of the post rows."""
     post = f"FILTER (WHERE Period = '{POST}')"
-    return _moments(rows, keys, how, few_groups).groupBy(*keys, "position", "Metrics").agg(
-        F.expr(f"max(_value) FILTER (WHERE Period = '{PRE}')").alias("Pre"),
-        F.expr(f"max(_value) {post}").alias("Post"),
-        F.expr(f"max(_spread) {post}").alias("_spread"),
-        F.expr(f"coalesce(max(_n) {post}, 0L)").alias("_n"),
-        F.expr(f"coalesce(max(_known) {post}, 0L)").alias("_known"),
+    return moments(parted, keys, how).groupBy(*keys, "position", "Metrics").agg(
+        F.expr(f"max(value) FILTER (WHERE Period = '{PRE}')").alias("Pre"),
+        F.expr(f"max(value) {post}").alias("Post"),
+        F.expr(f"max(spread) {post}").alias("_spread"),
+        F.expr(f"coalesce(max(rows) {post}, 0L)").alias("_n"),
+        F.expr(f"coalesce(max(known) {post}, 0L)").alias("_known"),
     ).withColumns({"_total": F.col("Metrics").isin(*how.totals), "_signed": F.lit(how.signed)})
 
 
@@ -183,24 +180,27 @@ def tested(paired: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def customer_pairs(
-    features: DataFrame,
-    keys: list[str],
-    metrics: Metrics,
-    few_groups: bool = False,
-    only: Sequence[str] | None = None,
+def customer_cells(
+    features: DataFrame, groups: list[str], metrics: Metrics, only: Sequence[str] | None = None
 ) -> DataFrame:
+    """The customers' moments by `groups`; those by segment and initiative serve every cohort."""
     how = customer_comparison(metrics)
-    return paired_values(features, keys, how if only is None else how.only(only), few_groups)
+    return merged(cells(features, groups, how if only is None else how.only(only)), groups)
+
+
+def customer_pairs(parted: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
+    """Pre and post values of groups from their customers' moments."""
+    return paired_values(parted, keys, customer_comparison(metrics))
 
 
 def day_pairs(days: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
-    return paired_values(days, keys, day_comparison(metrics))
+    how = day_comparison(metrics)
+    return paired_values(cells(days, keys, how), keys, how)
 
 
-def customer_tests(features: DataFrame, keys: list[str], metrics: Metrics, few_groups: bool = False) -> DataFrame:
+def customer_tests(parted: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:
     """The customer test table of each group: a row per metric."""
-    return tested(customer_pairs(features, keys, metrics, few_groups), keys)
+    return tested(customer_pairs(parted, keys, metrics), keys)
 
 
 def day_tests(days: DataFrame, keys: list[str], metrics: Metrics) -> DataFrame:

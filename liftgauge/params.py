@@ -87,6 +87,12 @@ class Periods:
         used = (self.pre, self.post, self.lookback, *self.recency)
         return Window(min(w.start for w in used), max(w.end for w in used))
 
+    @property
+    def scanned(self) -> Window:
+        """The span, widened to the days close to the switch where a period is shorter than those."""
+        near = self.around_switch()
+        return Window(min(self.span.start, near.pre_ini), max(self.span.end, near.post_end))
+
     def around_switch(self, days: int = 35) -> Periods:
         """The last `days` pre days against the first `days` post days."""
         reach = timedelta(days=days - 1)
@@ -139,6 +145,11 @@ class Metrics:
         split = [f"{m}_{b}" for b in self.buckets for m in ("Quantity", "Sales", "Coupons")]
         return ["Transactions", "Quantity_All", "Sales_All", "Coupons_All", *split]
 
+    @property
+    def counts(self) -> list[str]:
+        """Metrics that are whole numbers, whose sums are exact as they are."""
+        return ["Transactions", "Coupons_All", *self.by_bucket("Coupons")]
+
     @property
     def all(self) -> list[str]:
         split = [f"{m}_{b}" for b in self.buckets for m in ("Quantity", "Sales", "Coupons")]

@@ -8,15 +8,15 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from liftgauge.operators.cohorts import ARM_KEYS, GRID_KEYS, assign_all_cohorts, assign_arms
+from liftgauge.operators.cohorts import ARM_KEYS, COHORT_GROUPS, GRID_KEYS, assign_all_cohorts, assign_arms
 from liftgauge.operators.compare import real_result, rolling_mean, timeline
 from liftgauge.operators.customers import customer_delta, customer_features
 from liftgauge.operators.days import day_cube, day_features
 from liftgauge.operators.facts import daily_facts
 from liftgauge.operators.labels import label, mark, with_period
 from liftgauge.operators.reports import FROM_CUSTOMERS, combine_tests, formatted, share_range, shares
-from liftgauge.operators.significance import customer_pairs, customer_tests, day_pairs, day_tests
-from liftgauge.operators.synthetic import synthetic_customers, synthetic_days
+from liftgauge.operators.significance import customer_cells, customer_pairs, customer_tests, day_pairs, day_tests
+from liftgauge.operators.synthetic import cohort_sizes, synthetic_customers, synthetic_days
 from liftgauge.params import (
     CONTROL,
     DEFAULT_ARMS,
@@ -28,14 +28,14 @@ from liftgauge.params import (
     Periods,
     Window,
 )
-from liftgauge.session import written
+from liftgauge.session import Store
 
 
 class Campaign:
     """Tables are DataFrames; nothing but table sizes comes to the driver.
 
     With `keep=True` the labelled facts are written once to the shared folder, by a job that runs when they are first
-    asked for. Turn it off where only one table is wanted. The synthetic control counts its cohorts in a job as well.
+    asked for. Turn it off where only one table is wanted.
     """
 
     def __init__(
@@ -50,6 +50,17 @@ class Campaign:
         self.sales, self.initiatives = sales, initiatives
         self.periods, self.arms, self.metrics, self.keep = periods, dict(arms), metrics, keep
         self.stored: DataFrame | None = None
+        self.store = Store(initiatives.sparkSession, "campaign")
+
+    def __enter__(self) -> Campaign:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
+    def close(self) -> None:
+        """Delete what the analysis, and those made of it by `with_arms`, have written; their tables are then no longer to be read."""
+        self.store.close()
 
     @classmethod
     def from_daily(
@@ -75,7 +86,7 @@ class Campaign:
     def with_arms(self, arms: Mapping[str, Cohort]) -> Campaign:
         """Other arms in the same periods; labelled facts, customer features and the day cube are shared."""
         other = self.with_periods(self.periods)
-        other.arms = dict(arms)
+        other.arms, other.store = dict(arms), self.store
         for shared in ("daily", "labelled", "marked", "customers", "cube"):
             # A cached property is filled in by its first use; what no arm changes is worked out here once.
             other.__dict__[shared] = getattr(self, shared)
@@ -106,8 +117,8 @@ class Campaign:
     @cached_property
     def marked(self) -> DataFrame:
         """Labelled facts with recency marks, of the days that can change a result."""
-        facts = mark(self._facts_within(self.periods.span), self.initiatives, self.periods)
-        return written(facts, "marked") if self.keep else facts
+        facts = mark(self._facts_within(self.periods.scanned), self.initiatives, self.periods)
+        return self.store.written(facts, "marked") if self.keep else facts
 
     @cached_property
     def customers(self) -> DataFrame:
@@ -124,9 +135,19 @@ class Campaign:
         """Day features of the arms."""
         return day_features(assign_arms(self.cube, self.arms), ARM_KEYS, self.metrics, self.periods)
 
+    @cached_property
+    def customer_cells(self) -> DataFrame:
+        """The customers' moments by segment and initiative, out of which every cohort's are merged."""
+        return customer_cells(self.customers, COHORT_GROUPS, self.metrics)
+
+    @cached_property
+    def taken_cells(self) -> DataFrame:
+        """Moments of the customer metrics alone that the combined result takes over; no other is worked out."""
+        return customer_cells(self.customers, COHORT_GROUPS, self.metrics, only=FROM_CUSTOMERS)
+
     @cached_property
     def customer_tests(self) -> DataFrame:
-        return customer_tests(assign_arms(self.customers, self.arms), ARM_KEYS, self.metrics, few_groups=True)
+        return customer_tests(assign_arms(self.customer_cells, self.arms), ARM_KEYS, self.metrics)
 
     @cached_property
     def day_tests(self) -> DataFrame:
@@ -134,11 +155,10 @@ class Campaign:
 
     @cached_property
     def result(self) -> DataFrame:
-        return self._combined(self.days, assign_arms(self.customers, self.arms), ARM_KEYS)
+        return self._combined(self.days, assign_arms(self.taken_cells, self.arms), ARM_KEYS)
 
     def _combined(self, days: DataFrame, people: DataFrame, keys: list[str]) -> DataFrame:
-        # Of the customer metrics only those are worked out that the combined result takes over.
-        taken = customer_pairs(people, keys, self.metrics, only=FROM_CUSTOMERS)
+        taken = customer_pairs(people, keys, self.metrics)
         return combine_tests(day_pairs(days, keys, self.metrics), taken, keys, self.metrics)
 
     @cached_property
@@ -171,32 +191,31 @@ class Campaign:
     def grid(self) -> DataFrame:
         """The result table of every cohort that can be chosen, from the same passes over the facts."""
         days = day_features(assign_all_cohorts(self.cube), GRID_KEYS, self.metrics, self.periods)
-        return self._combined(days, assign_all_cohorts(self.customers), GRID_KEYS)
+        return self._combined(days, assign_all_cohorts(self.taken_cells), GRID_KEYS)
 
     @cached_property
     def customer_grid(self) -> DataFrame:
         """The customer test table of every cohort that can be chosen."""
-        return customer_tests(assign_all_cohorts(self.customers), GRID_KEYS, self.metrics)
+        return customer_tests(assign_all_cohorts(self.customer_cells), GRID_KEYS, self.metrics)
 
     @cached_property
     def synthetic_days(self) -> DataFrame:
         # Read several times over, and no more rows than days.
-        days = written(self.days, "days") if self.keep else self.days
+        days = self.store.written(self.days, "days") if self.keep else self.days
         return synthetic_days(days, self.metrics)
 
     @cached_property
     def synthetic_customers(self) -> DataFrame:
-        near = self.periods.around_switch()
-        # Read once, and only for the labels.
-        around = label(self._facts_within(near.span), self.initiatives, near)
-        # The draw reads its pool several times over: to count, to number and to pick.
-        people = written(self.customers, "customers") if self.keep else self.customers
-        return synthetic_customers(people, around, self.arms[TEST], self.arms[CONTROL])
+        test, control = self.arms[TEST], self.arms[CONTROL]
+        # Read twice over: for the sizes of its groups and for the draws.
+        people = self.store.written(self.customers, "customers") if self.keep else self.customers
+        return synthetic_customers(people, cohort_sizes(self.marked, test, control), test, control)
 
     @cached_property
     def synthetic_result(self) -> DataFrame:
         """The result table against the synthetic control."""
-        return self._combined(self.synthetic_days, self.synthetic_customers, ARM_KEYS)
+        people = customer_cells(self.synthetic_customers, ARM_KEYS, self.metrics, only=FROM_CUSTOMERS)
+        return self._combined(self.synthetic_days, people, ARM_KEYS)
 
     @cached_property
     def synthetic_real_result(self) -> DataFrame:

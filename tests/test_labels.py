@@ -4,7 +4,7 @@ import pytest
 from conftest import as_dicts
 from pyspark.errors import PySparkException
 
-from liftgauge.operators.cohorts import assign_all_cohorts, assign_arms, in_cohort, join_group_values
+from liftgauge.operators.cohorts import assign_all_cohorts, assign_arms, in_cohort
 from liftgauge.operators.facts import daily_facts
 from liftgauge.operators.labels import label, mark, promo_pivot, with_period
 from liftgauge.params import Cohort, Periods
@@ -97,14 +97,6 @@ def test_an_initiative_called_all_is_not_the_wildcard(spark):
     assert [r.CustomerID for r in named.collect()] == [1]
 
 
-def test_salted_join_gives_the_same_rows(labelled):
-    values = labelled.groupBy("Promo_Segment").count()
-    few = join_group_values(labelled, values, ["Promo_Segment"], "CustomerID", True)
-    many = join_group_values(labelled, values, ["Promo_Segment"], "CustomerID", False)
-    columns = ["CustomerID", "Transaction_Date", "count"]
-    assert sorted(few.select(*columns).collect()) == sorted(many.select(*columns).collect())
-
-
 def test_marks(purchases, initiatives, metrics):
     rows = as_dicts(mark(daily_facts(purchases([
         (1, "2020-01-10"), (1, "2020-01-20"), (1, "2020-02-03"), (1, "2020-06-01"),

@@ -1,11 +1,16 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from conftest import as_dicts
+from pyspark.sql import functions as F
 
-from liftgauge.operators.significance import customer_pairs, customer_tests, day_tests
-from liftgauge.params import Metrics
+from liftgauge.operators.cohorts import GRID_KEYS, assign_all_cohorts, assign_arms
+from liftgauge.operators.significance import customer_cells, customer_pairs
+from liftgauge.operators.significance import customer_tests as table_of_cells
+from liftgauge.operators.significance import day_tests
+from liftgauge.params import Cohort, Metrics
 
 METRICS = Metrics()
 
@@ -18,6 +23,10 @@ def features(spark, rows, keys=("arm",)):
     return spark.createDataFrame([(a, p, c, *([v] * len(names)), f, r) for a, p, c, v, f, r in rows], schema)
 
 
+def customer_tests(rows, keys, metrics):
+    return table_of_cells(customer_cells(rows, keys, metrics), keys, metrics)
+
+
 def by_numpy(x, mu0, w):
     x, w = np.asarray(x, float), np.asarray(w, float)
     mean = (x * w).sum() / w.sum()
@@ -95,21 +104,59 @@ def test_a_period_without_rows(spark):
     assert customer_tests(features(spark, [("a", "Pre", 1, 1.0, 0.5, 1)]).limit(0), ["arm"], METRICS).count() == 0
 
 
-def test_many_groups_and_few_groups_agree(spark):
-    rows = [(arm, p, i, float(i * i % 7), 0.1 * (i % 3 + 1), i)
-            for arm in "abc" for p in ("Pre", "Post") for i in range(1, 15)]
+def by_hand(rows, arm, period, pre_mean):
+    chosen = [(v, f) for a, p, _, v, f, _ in rows if a in arm and p == period]
+    known = [(v, f) for v, f in chosen if v is not None]
+    return by_numpy([v for v, _ in known], pre_mean, [f for _, f in known])
+
+
+def test_cohorts_merged_from_parts_are_those_of_all_their_rows(spark):
+    """Groups of different sizes, weights and means, in many partitions, merged in two steps."""
+    rng = random.Random(5)
+    rows = [(seg, p, i, 1e6 * (seg == "big") + rng.random(), rng.choice([0.01, 0.02, 0.25]), rng.randint(0, 9))
+            for seg in ("a", "b", "big") for p in ("Pre", "Post") for i in range(rng.randint(5, 60))]
+    frame = features(spark, rows).withColumnRenamed("arm", "Promo_Segment").withColumn(
+        "Initiative", F.when(F.col("CustomerID") % 3 == 0, "x").otherwise("y")).repartition(7)
+    parted = customer_cells(frame, ["Promo_Segment", "Initiative"], METRICS)
+    arms = {"all": Cohort(), "x": Cohort("All", "x")}
+    found = as_dicts(table_of_cells(assign_arms(parted, arms), ["arm"], METRICS), "arm", "Metrics")
+    for arm, member in (("all", lambda r: True), ("x", lambda r: r[2] % 3 == 0)):
+        own = [r for r in rows if member(r)]
+        pre = np.average([r[3] for r in own if r[1] == "Pre"], weights=[r[4] for r in own if r[1] == "Pre"])
+        mean, t = by_hand(own, ("a", "b", "big"), "Post", pre)
+        sales = found[arm, "Sales_All"]
+        assert (sales["Pre"], sales["Post"], sales["t_stat"]) == (
+            pytest.approx(pre, rel=1e-14), pytest.approx(mean, rel=1e-14), pytest.approx(t, rel=1e-9))
+        recency = [float(r[5]) for r in own if r[1] == "Post"]
+        before = np.mean([r[5] for r in own if r[1] == "Pre"])
+        plain = (np.mean(recency) - before) / (np.std(recency, ddof=1) / math.sqrt(len(recency)))
+        assert found[arm, "Recency"]["t_stat"] == pytest.approx(plain)
+        assert found[arm, "Customers_Period"]["Post"] == len(recency)
+
+
+def test_one_pass_over_the_customers_and_no_customer_is_copied(spark):
+    frame = features(spark, [("a", "Pre", 1, 1.0, 0.5, 1)]).withColumns({"Promo_Segment": F.lit("s"), "Initiative": F.lit("i")})
+    parted = customer_cells(frame, ["Promo_Segment", "Initiative"], METRICS)
+    plan = table_of_cells(assign_all_cohorts(parted), GRID_KEYS, METRICS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1 and "Join" not in plan
+    # Cohorts are made of the groups' moments, not of customers.
+    assert 0 < plan.index("Generate explode") < plan.index("var_pop")
+
+
+def test_bits_do_not_depend_on_the_partitioning(spark):
+    rng = random.Random(6)
+    rows = [(a, p, i, rng.random() * 10 ** rng.randint(-3, 7), rng.choice([0.1, 0.3, 1 / 7]), 1)
+            for a in "ab" for p in ("Pre", "Post") for i in range(400)]
     frame = features(spark, rows)
-    few = as_dicts(customer_tests(frame, ["arm"], METRICS, True), "arm", "Metrics")
-    many = as_dicts(customer_tests(frame, ["arm"], METRICS, False), "arm", "Metrics")
-    for key, row in few.items():
-        assert many[key]["t_stat"] == (None if row["t_stat"] is None else pytest.approx(row["t_stat"]))
+    one, other = (as_dicts(customer_pairs(customer_cells(frame.repartition(n, "CustomerID"), ["arm"], METRICS), ["arm"], METRICS), "arm", "Metrics")
+                  for n in (1, 9))
+    assert {k: (r["Pre"], r["Post"]) for k, r in one.items()} == {k: (r["Pre"], r["Post"]) for k, r in other.items()}
 
 
 def test_only_some_metrics(spark):
     rows = [("a", "Pre", 1, 1.0, 0.5, 1), ("a", "Post", 1, 2.0, 0.25, 1), ("a", "Post", 2, 2.0, 0.75, 1)]
-    found = as_dicts(
-        customer_pairs(features(spark, rows), ["arm"], METRICS, only=["Frequency%", "Customers_Period"]), "Metrics"
-    )
+    only = ["Frequency%", "Customers_Period"]
+    found = as_dicts(customer_pairs(customer_cells(features(spark, rows), ["arm"], METRICS, only), ["arm"], METRICS), "Metrics")
     assert set(found) == {"Frequency%", "Customers_Period"} and found["Customers_Period"]["Post"] == 2.0
 
 

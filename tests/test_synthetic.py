@@ -4,7 +4,7 @@ import pytest
 from conftest import as_dicts
 from pyspark.sql import functions as F
 
-from liftgauge.operators.synthetic import bootstrap, cohort_sizes, numbered, proportions, synthetic_days
+from liftgauge.operators.synthetic import bootstrap, cohort_sizes, draw_plan, proportions, synthetic_days
 from liftgauge.params import Cohort, Metrics
 from liftgauge.plans.campaign import Campaign
 from liftgauge.params import Periods
@@ -49,12 +49,29 @@ def test_synthetic_days(days):
     assert post["Price_All"] == 3.0 and post["ActiveCustomer%"] == 0.5 and post["Recency"] == -1.0
 
 
-def test_numbers_are_dense_and_stable(spark):
+def test_every_draw_takes_one_row_of_one_group(spark):
     rows = spark.range(5000).select((F.col("id") * 7 + 3).alias("CustomerID"))
-    first = {r.CustomerID: r.row_number for r in numbered(rows, "CustomerID").collect()}
-    assert sorted(first.values()) == list(range(5000))
-    again = {r.CustomerID: r.row_number for r in numbered(rows.repartition(13), "CustomerID").collect()}
-    assert again == first
+    first = sorted(draw_plan(rows, "CustomerID", 2.0, digits=1).collect())
+    assert [d.draw for d in first] == list(range(10_000))
+    sizes = {g: n for g, n in rows.groupBy(F.substring(F.md5(F.col("CustomerID").cast("string")), 1, 1)).count().collect()}
+    assert all(0 <= d._place < sizes[d._group] for d in first)
+    # What a group gets is spread as the draws of a fair choice would be.
+    for group, n in sizes.items():
+        expected, got = 2.0 * n, sum(d._group == group for d in first)
+        assert abs(got - expected) < 5 * (expected * (1 - n / 5000)) ** 0.5
+    assert sorted(draw_plan(rows.repartition(13), "CustomerID", 2.0, digits=1).collect()) == first
+
+
+def test_nothing_runs_before_the_draw_is_asked_for(spark):
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("bootstrap", "none")
+    bootstrap(spark.range(100).withColumnRenamed("id", "CustomerID"), "CustomerID", spark.range(1).select(F.lit(1.5).alias("fraction")))
+    assert tracker.getJobIdsForGroup("bootstrap") in ([], ())
+    spark.sparkContext.setJobGroup("", "")
+
+
+def test_an_empty_pool_gives_nothing(spark):
+    assert bootstrap(spark.range(0).withColumnRenamed("id", "CustomerID"), "CustomerID", 2.0).count() == 0
 
 
 @pytest.mark.parametrize("fraction", [0.0, 0.5, 1.25, 3.0])
@@ -84,8 +101,9 @@ def test_synthetic_customers(purchases, initiatives):
         purchases(items), initiatives(1, 2, 9), periods,
         {"test": Cohort("All", "BuyOneGetOne"), "control": Cohort("NoPromo", "NoInitiative")},
     )
-    sizes = cohort_sizes(campaign.marked, *campaign.arms.values())
-    assert sizes == (3, 4)
+    # Customer 9 bought before the switch, but not close to it.
+    sizes = cohort_sizes(campaign.marked, *campaign.arms.values()).first()
+    assert tuple(sizes) == (2, 4)
     rows = campaign.synthetic_customers.collect()
     count = {}
     for r in rows:
@@ -95,3 +113,31 @@ def test_synthetic_customers(purchases, initiatives):
     assert {r.CustomerID for r in rows if (r.arm, r.Period) == ("control", "Pre")} == {1, 2, 9}
     assert {r.CustomerID for r in rows if (r.arm, r.Period) == ("control", "Post")} <= {3, 4, 5, 6}
     assert campaign.synthetic_real_result.count() == 23
+
+
+def test_one_scan_serves_the_synthetic_control(spark, purchases, initiatives):
+    """Also where the periods are shorter than the days around the switch, whose labels then need more days than the analysis."""
+    for periods in (Periods.of("2020-01-01", "2020-03-31", "2020-04-01", "2020-06-30"),
+                    Periods.of("2020-03-25", "2020-03-31", "2020-04-01", "2020-04-07")):
+        # Customer 3 used a coupon in the days around the switch, outside of the short periods.
+        items = [(c, day, 1.0, "Used" if c == 3 and day < "2020-03-20" else "No")
+                 for c in range(1, 8) for day in ("2020-03-10", "2020-03-28", "2020-04-02")]
+        campaign = Campaign(purchases(items), initiatives(1, 2), periods, keep=False)
+        scans = []
+        inner = campaign._facts_within
+        campaign._facts_within = lambda days: scans.append(days) or inner(days)
+        assert campaign.synthetic_real_result.count() == 23 and len(scans) == 1
+        assert tuple(cohort_sizes(campaign.marked, *campaign.arms.values()).first()) == (2, 4)
+        kept = Campaign(purchases(items), initiatives(1, 2), periods)
+        kept.marked  # noqa: B018  written once
+        text = kept.synthetic_result._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+        assert "Scan ExistingRDD" not in text and "LocalTableScan" not in text
+        assert sorted(kept.synthetic_result.collect(), key=str) == sorted(campaign.synthetic_result.collect(), key=str)
+
+
+def test_a_control_without_customers_fails(purchases, initiatives):
+    periods = Periods.of("2020-01-01", "2020-03-31", "2020-04-01", "2020-06-30")
+    campaign = Campaign(purchases([(1, "2020-03-20"), (1, "2020-04-10"), (2, "2020-04-10")]), initiatives(1), periods)
+    with pytest.raises(Exception, match="no customers before the switch"):
+        campaign.synthetic_customers.collect()
