@@ -10,7 +10,7 @@ from liftgauge.llm.pii import masked
 from liftgauge.llm.quality import keep_good
 from liftgauge.llm.simhash import first_of_each
 from liftgauge.llm.tables import table
-from liftgauge.session import written
+from liftgauge.session import Store
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's table. What a stage wrote for itself goes when its result is written, that result when the next one is."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        label = name.replace(" ", "-")
+        result = Store(spark, label)
+        with Store(spark, f"{label}-work"):
+            docs = result.written(stage(spark, docs, sf_dir), label)
+        if before is not None:
+            before.close()
+        before = result
     return docs
