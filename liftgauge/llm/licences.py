@@ -98,19 +98,26 @@ def licence_sentences(documents: DataFrame, sentences: dict[int, str] = SENTENCE
 def scan_licences(documents: DataFrame, sentences: dict[int, str] = SENTENCES, rules=RULES) -> DataFrame:
     """doc_id, n_sentences long, sentence_ids string, licences string (sorted, comma-joined), licensed boolean.
 
-    A rule holds where its sentences stand in its order in the document, others between them allowed.
+    A rule holds where its sentences stand in its order in the document, others between them allowed. Rules of more sentences
+    come first and use theirs up, so a licence "version 3" followed by "or any later version" is not also one of version 3 only.
     Null and empty texts have no sentence; every row of `documents` has its own row, repeated rows too.
     """
     found = licence_sentences(documents, sentences).distinct()
     by_document = found.groupBy("doc_id", "text_key").agg(
         F.transform(F.sort_array(F.collect_list(F.struct("at", "sentence"))), lambda x: x["sentence"]).alias("ids"))
-    line = F.concat(F.lit(","), F.array_join("ids", ","), F.lit(","))
-    held = F.array(*(
-        F.when(line.rlike("," + r",(\d+,)*".join(map(str, ids)) + ","), F.lit(name)) for name, ids in rules))
-    named = by_document.select(
+    ruled = by_document.withColumn("line", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
+    ruled = ruled.withColumn("held", F.array().cast("array<string>"))
+    for name, ids in sorted(rules, key=lambda rule: -len(rule[1])):
+        pattern = "," + r",((?:\d+,)*?)".join(map(str, ids)) + ","
+        rest = "," + "".join(f"${n}" for n in range(1, len(ids)))
+        ruled = ruled.withColumns({
+            "held": F.when(F.col("line").rlike(pattern), F.array_append("held", F.lit(name))).otherwise(F.col("held")),
+            "line": F.regexp_replace("line", pattern, rest),
+        })
+    named = ruled.select(
         F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"), F.size("ids").cast("long").alias("n"),
         F.array_join("ids", ",").alias("ids"),
-        F.array_join(F.array_sort(F.array_distinct(F.array_compact(held))), ",").alias("names"))
+        F.array_join(F.array_sort(F.array_distinct("held")), ",").alias("names"))
     rows = documents.select("doc_id", F.xxhash64("text").alias("text_key"))
     return rows.join(
         named, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_key") == F.col("_key")), "left",

@@ -291,6 +291,10 @@ def test_licences_as_they_are_found(spark):
                               "in compliance with the License.", "// "): "Apache-2.0",
         "#" * 900 + " Released under the MIT License. " + "#" * 900: "MIT",
         "This is not " + mit: "",
+        f"{licences.SENTENCES[5]}\n{licences.SENTENCES[6]}": "GPL-3.0-or-later",
+        f"{licences.SENTENCES[5]}\nSome words. {licences.SENTENCES[3]}\n{licences.SENTENCES[6]}": "GPL-3.0-or-later,MIT",
+        f"{licences.SENTENCES[5]}\nA b.\n{licences.SENTENCES[5]}\n{licences.SENTENCES[6]}": "GPL-3.0-only,GPL-3.0-or-later",
+        licences.SENTENCES[5]: "GPL-3.0-only",
         "This work is licensed under the GNU General Public License, version 3 or 4.": "",
     }
     df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
