@@ -302,6 +302,65 @@ def test_licences_as_they_are_found(spark):
     assert [found[i].licences for i in range(len(cases))] == list(cases.values())
 
 
+def licences_by_brute_force(text, sentences, rules):
+    """Every wording compared with the words from every edge on; rules by loops over the identifiers."""
+    plain = re.sub(r"\n|[;:!?.](?=\s|$)", "\x01", (text or "").replace("\x01", " ").lower())
+    plain = re.sub(r"(?<![0-9])\.|\.(?![0-9])", " ", plain)
+    words, edges = [], set()
+    for part in plain.split("\x01"):
+        edges.add(len(words))
+        words += re.findall(r"(?:[^\W_]|\.)+", part)
+    edges.add(len(words))
+    spans = set()
+    for i, wording in sentences.items():
+        norm = re.findall(r"(?:[^\W_]|\.)+", re.sub(r"(?<![0-9])\.|\.(?![0-9])", " ", wording.lower()))
+        spans |= {(a, a + len(norm), i) for a in edges if words[a:a + len(norm)] == norm and a + len(norm) in edges}
+    ids = [i for a, b, i in sorted(spans) if not any((c, d) != (a, b) and c <= a and b <= d for c, d, _ in spans)]
+    out, left = set(), list(ids)
+    for name, rule in sorted(rules, key=lambda r: -len(r[1])):
+        used, state = [], []
+        for at, i in enumerate(left):
+            if i == rule[len(state)]:
+                state.append(at)
+            if len(state) == len(rule):
+                used, state = used + state, []
+                out.add(name)
+        left = [i for at, i in enumerate(left) if at not in used]
+    return ",".join(map(str, ids)), ",".join(sorted(out))
+
+
+def test_licences_against_brute_force(spark, docs):
+    wrap = lambda text, head="": "\n".join(head + line for line in textwrap.wrap(text, rnd.randint(25, 90)))
+    wordings = list(licences.SENTENCES.values())
+    texts = list(wordings)
+    for _ in range(150):
+        parts = [rnd.choice([rnd.choice(wordings), wrap(rnd.choice(wordings), rnd.choice(["", "# ", " * ", "1. "])), sentence(3),
+                             rnd.choice(wordings)[:rnd.randint(5, 90)]]) for _ in range(rnd.randint(1, 9))]
+        texts.append(rnd.choice(["\n", " ", "\n\n", ". "]).join(parts))
+    texts += [None, "", "\x01", wordings[4] + "\x01" + wordings[5], "\n".join(wordings[13:17]), "\n".join(wordings[13:16]), " ".join(wordings[30:32])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    found = by_id(licences.scan_licences(df))
+    for i, text in enumerate(texts):
+        assert (found[i].sentence_ids, found[i].licences) == licences_by_brute_force(text, licences.SENTENCES, licences.RULES), text
+    assert [found[len(texts) - n].licences for n in (3, 2, 1)] == ["BSD-3-Clause", "BSD-2-Clause", "Zlib"]
+    single = {i: name for name, ids in licences.RULES if len(ids) == 1 for i in ids}
+    assert all(found[i - 1].licences == single.get(i, "") for i in licences.SENTENCES)
+    # Other tables, also a small and an empty one; repeated rows and rows without an id.
+    other = {7: "ba n one", 8: "Some words here; and there."}
+    rows = spark.createDataFrame([(None, "x.\nSome words here\nand there"), (None, "x.\nSome words here\nand there"), (1, "some words here and")], df.schema)
+    assert sorted(r.licences for r in licences.scan_licences(rows, other, (("X", (8,)),)).collect()) == ["", "X", "X"]
+    assert {r.n_sentences for r in licences.scan_licences(docs, {}, ()).collect()} == {0}
+
+
+def test_licences_in_long_texts(spark):
+    five, six = licences.SENTENCES[5], licences.SENTENCES[6]
+    texts = [f"{six}\n" + f"{five}\n" * 30_000, "this program is " * 200_000, "this program is\n" * 100_000, "x" * 3_000_000, f"{five}\n{six}\n" * 10_000]
+    began = time.time()
+    found = by_id(licences.scan_licences(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)))
+    assert [found[i].licences for i in range(5)] == ["GPL-3.0-only", "", "", "", "GPL-3.0-or-later"]
+    assert [found[i].n_sentences for i in (0, 4)] == [30_001, 20_000] and time.time() - began < 60
+
+
 def test_field_spans_in_lines_of_any_length():
     field, n = pii.trained(), pii.CHAIN_TOKENS
     for body in ("tel (212) 555-0199 for the front desk", "mail sam at mail dot example dot org today",
