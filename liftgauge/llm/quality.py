@@ -13,8 +13,8 @@ from liftgauge.session import written
 ACCURACY = 2000
 QUANTILES = [0.25, 0.5, 0.75, 0.9]
 SPREADS = 4.0
-#: A group of fewer texts has no spread of its own.
-LEAST_TEXTS = 100
+#: What the wider sketch counts for, in texts, against a group's or a language's own texts.
+WIDER_TEXTS = 1000
 #: Where neither quartiles nor the upper tenth of a group, its language or the corpus differ.
 LEAST_SPREAD = {"symbol_ratio": 0.005, "dup_line_ratio": 0.04, "word_length": 0.05}
 SPACE = r"[\x20\x09-\x0D]"
@@ -82,9 +82,11 @@ def thresholds(measured: DataFrame) -> DataFrame:
 
     Every task sketches its own rows and only sketches are shuffled, so one source may hold any share. Texts that
     fail the base rules say nothing about the others and are not sketched. A limit is a quartile and SPREADS times
-    the spread away. The spread is that between quartiles, of the group, else of its language, else of the
-    corpus, whichever has LEAST_TEXTS texts and is not 0; then that from the median to the upper tenth in the
-    same order; LEAST_SPREAD last, so that groups of nearly equal texts do not reject what differs by a hair.
+    the spread away. Quantiles of a group are drawn towards those of its language, and these towards the corpus, by
+    the weight of WIDER_TEXTS texts, so limits move little by little with every text of a group. The spread is that
+    between quartiles, drawn in the same way; a sketch whose quartiles are equal leaves it to the wider one. Where
+    no level has one, that from the median to the upper tenth does, found alike; and it is at least
+    LEAST_SPREAD, so that groups of nearly equal texts do not reject what differs by a hair.
     `usual_words` is the middle number of words, `word_length_spread` the distance of its limits from the quartiles.
     """
     rows = measured.withColumns({**_ratios(), "_lang": _group("lang"), "_source": _group("source")})
@@ -101,20 +103,29 @@ def thresholds(measured: DataFrame) -> DataFrame:
         sketched("group", "_lang", "_source").join(sketched("language", "_lang"), "_lang")
         .crossJoin(F.broadcast(sketched("corpus"))))
 
-    def known(what: str) -> list[Column]:
-        return [F.when((F.col(f"{level}_texts") >= LEAST_TEXTS) | F.lit(level == "corpus"), F.col(f"{level}_{what}"))
-                for level in levels]
+    def drawn(of) -> Column:
+        """The value that `of` finds in each level's columns, drawn from level to level towards the wider one."""
+        values = [of(level) for level in levels]
+        out = values[-1]
+        for level, value in zip(levels[-2::-1], values[-2::-1], strict=True):
+            own = F.col(f"{level}_texts")
+            out = F.coalesce((own * value + WIDER_TEXTS * out) / (own + WIDER_TEXTS), out)
+        return out
 
     def limits(ratio: str, least: float) -> list[Column]:
-        sketches = known(ratio)
-        steps = [F.nullif(q[high] - q[low], F.lit(0.0)) for low, high in ((0, 2), (1, 3)) for q in sketches]
+        quartiles = [drawn(lambda level, i=i: F.col(f"{level}_{ratio}")[i]) for i in range(3)]
+
+        def between(low: int, high: int) -> Column:
+            gap = lambda level: F.col(f"{level}_{ratio}")[high] - F.col(f"{level}_{ratio}")[low]
+            return F.nullif(drawn(lambda level: gap(level) if level == "corpus" else F.nullif(gap(level), F.lit(0.0))), F.lit(0.0))
+
+        steps = [between(0, 2), between(1, 3)]
         spread = SPREADS * F.greatest(F.coalesce(*steps, F.lit(least)), F.lit(least))
-        quartiles = F.coalesce(*sketches)
         return [(quartiles[0] - spread).alias(f"{ratio}_least"), (quartiles[2] + spread).alias(f"{ratio}_limit"),
                 spread.alias(f"{ratio}_spread")]
 
     return merged.select(
-        "_lang", "_source", F.coalesce(*known("words")).alias("usual_words"),
+        "_lang", "_source", drawn(lambda level: F.col(f"{level}_words")).alias("usual_words"),
         *(x for r, least in LEAST_SPREAD.items() for x in limits(r, least)))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import random
 import re
@@ -142,6 +143,24 @@ def test_urls(spark):
     assert all(r.verdict for r in url_filter.judge_urls(pages, url_filter.unwanted_hosts(pages.limit(0))).collect())
 
 
+def test_urls_are_listed_one_by_one(spark):
+    """One of two pages of a host is listed, whatever the host is called; rules stand above the list."""
+    pages = spark.createDataFrame(
+        [(i, f"http{'s' * (i % 2)}://{'www.' * (i % 3 == 0)}h{i % 50}.example.com/p{i // 50}{('.html', '', '/', '?q=1')[i % 4]}")
+         for i in range(2000)] + [(2000, "http://h1.example.net/p1"), (2001, "http://h2.org/fr/x"), (2002, None)],
+        "page_id long, url string")
+    wanted = {(h, p) for h in range(50) for p in range(40) if (h * 7 + p) % 2}
+    keys = [(f"h{h}.example.com/p{p}",) for h, p in sorted(wanted)] * 2 + [(None,), ("h1.example.net/p1",), ("h2.org/fr/x",)]
+    listed = spark.createDataFrame(keys, "key string")
+    found = by_id(url_filter.judge_urls(pages, listed), "page_id")
+    assert all(found[i].listed == ((i % 50, i // 50) in wanted) and found[i].verdict == ("block" if found[i].listed else "allow")
+               for i in range(2000))
+    assert [(found[i].listed, found[i].verdict) for i in (2000, 2001, 2002)] == [(True, "block"), (True, "allow"), (False, "allow")]
+    hosts = spark.createDataFrame([("http://www.free-bets.example.com/a.html",), ("http://better.example.com/a",), ("casino",), (None,)], "url string")
+    assert [r.key for r in url_filter.unwanted_hosts(hosts).collect()] == ["free-bets.example.com/a"]
+    assert url_filter.unwanted_hosts(hosts, ()).count() == 0 == url_filter.judge_urls(pages.limit(0), listed).count()
+
+
 def test_encoding(docs):
     library = sentencepiece.SentencePieceProcessor(model_file=str(piece_codec.public_model()))
     found = by_id(piece_codec.encoded(docs, keep_ids=True))
@@ -262,6 +281,63 @@ def test_quality_limits_follow_the_data(spark):
     assert sum(r.kept for r in kept.values()) > 390
 
 
+def test_quality_limits_against_exact_quantiles(spark):
+    """`kept` of texts judged by limits from exact quantiles; sketches are exact up to their accuracy's rows."""
+    rows = []
+    for i in range(900):
+        lang, source = rnd.choice(["en", "en", "de", None]), rnd.choice(["a"] * 6 + ["b", "", None])
+        body = " ".join(rnd.choice(WORDS) + rnd.choice(["", "", "#", "x" * rnd.randint(0, 12)]) for _ in range(rnd.randint(8, 60)))
+        rows.append((i, body + rnd.choice(["", "\nsame line", "\nsame line\nsame line\nsame line"]) + " |" * rnd.choice([0, 0, 1, 9]), lang, source))
+    rows += [(900, None, "en", "a"), (901, "", None, None), (902, "w " * 9, "xx", "only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    table = {r.doc_id: r for r in quality.with_measures(df).collect()}
+
+    def ratios(r, free=0):
+        return {"symbol_ratio": max(r.n_symbols - free, 0) / r.word_chars if r.word_chars else None,
+                "dup_line_ratio": max(r.n_dup_lines - free, 0) / r.n_lines if r.n_lines else None,
+                "word_length": r.word_chars / r.n_words if r.n_words else None}
+
+    def quantile(values, share):
+        return sorted(values)[max(int(np.ceil(share * len(values))) - 1, 0)] if values else None
+
+    good, wider = [r for r in table.values() if not r.base_failed], quality.WIDER_TEXTS
+
+    def drawn(of, lang, source):
+        levels = [good, [r for r in good if r.lang == lang], [r for r in good if (r.lang, r.source) == (lang, source)]]
+        out = of(levels[0])
+        for own in levels[1:]:
+            value = of(own)
+            if value is not None:
+                out = (len(own) * value + wider * out) / (len(own) + wider)
+        return out
+
+    @functools.cache
+    def limits(lang, source):
+        out = {}
+        for name, least in quality.LEAST_SPREAD.items():
+            at = lambda share: lambda rs: quantile([ratios(x)[name] for x in rs], share)  # noqa: B023, E731
+            gap = lambda a, b: lambda rs: (at(b)(rs) - at(a)(rs) or (0 if rs is good else None)) if rs else None  # noqa: B023, E731
+            spreads = [drawn(gap(a, b), lang, source) for a, b in ((0.25, 0.75), (0.5, 0.9))]
+            spread = 4 * max(next((s for s in spreads if s), least), least)
+            out[name] = drawn(at(0.25), lang, source) - spread, drawn(at(0.75), lang, source) + spread, spread
+        return drawn(lambda rs: quantile([x.n_words for x in rs], 0.5), lang, source), out
+
+    def kept(r):
+        if r.base_failed:
+            return False
+        usual, of = limits(r.lang, r.source)
+        for name, (low, high, spread) in of.items():
+            more = spread * (max(1, (usual / r.n_words) ** 0.5) - 1) if name == "word_length" else 0
+            if not low - more <= ratios(r, 1)[name] <= high + more:
+                return False
+        return True
+
+    found = by_id(quality.quality_table(df))
+    want = {i: kept(r) for i, r in table.items()}
+    assert {i: r.kept for i, r in found.items()} == want
+    assert 50 < sum(not k for k in want.values()) < 600
+
+
 def test_rows_without_an_id(spark):
     schema = "doc_id long, text string"
     near = " ".join(BASE[1].split()[::-1])
