@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express, over the views of the given tables."""
 
+from liftgauge.llm.url_filter import UNWANTED
+
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _SPACED = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -22,6 +24,26 @@ SELECT docs.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) A
 FROM docs LEFT JOIN hit ON hit.doc_id = docs.doc_id LEFT JOIN named ON named.doc_id = docs.doc_id
 """
 
+_UNWANTED = ", ".join(f"'{word}'" for word in UNWANTED)
+
+URL_FILTER = rf"""
+WITH rests AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+keyed AS (SELECT *, regexp_replace(host, '^(www|m)\.', '') || regexp_replace(path, '(\.html?)?/*$', '') AS key,
+  list_has_any(regexp_split_to_array(host, '[.-]'), [{_UNWANTED}]) AS unwanted FROM parts),
+listed AS (SELECT DISTINCT key FROM keyed WHERE unwanted),
+ruled AS (SELECT *, '.' || host AS under FROM keyed),
+named AS (SELECT *, CASE
+  WHEN ends_with(under, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
+  WHEN ends_with(under, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
+  WHEN ends_with(under, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
+  WHEN ends_with(under, '.net') AND starts_with(path, '/') THEN 'net/' END AS rule FROM ruled)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+  WHEN key IN (SELECT key FROM listed) THEN 'block' ELSE 'allow' END AS verdict
+FROM named
+"""
+
 RANKED_SEARCH = f"""
 WITH terms AS (SELECT r, doc_id, unnest(w) AS term FROM (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents)),
 counted AS (SELECT r, doc_id, term, count(*) AS tf FROM terms GROUP BY ALL),
@@ -77,6 +99,7 @@ SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <
 
 ORACLE_SQL = {
     "op1_decontamination": DECONTAMINATION,
+    "op4_url_filter": URL_FILTER,
     "op11_ranked_search": RANKED_SEARCH,
     "op12_substring_dedup": SUBSTRING_DEDUP,
     "op13_resampling": RESAMPLING,

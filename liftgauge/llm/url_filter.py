@@ -109,11 +109,22 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
         F.coalesce("_verdict", F.when(hit, "block").otherwise("allow")).alias("verdict"), hit.alias("listed"))
 
 
-def unwanted_hosts(pages: DataFrame, words: tuple[str, ...] = ("casino", "pills")) -> DataFrame:
-    """The list for the registered query: canonical URLs of hosts with one of `words` in a label's parts."""
+#: Parts of host names that stand for gambling, drugs, adult pages, advertising and spam.
+UNWANTED = (
+    "ads", "adserver", "adult", "banner", "bet", "bets", "betting", "bingo", "casino", "gambling", "jackpot", "lottery",
+    "pharmacy", "pills", "poker", "popunder", "porn", "slots", "spam", "tracker", "viagra", "xxx",
+)
+
+
+def unwanted_hosts(pages: DataFrame, words: tuple[str, ...] = UNWANTED) -> DataFrame:
+    """The list for the registered query: canonical URLs of hosts with one of `words` among the parts of a label.
+
+    Parts are what dots and hyphens divide. Null URLs and URLs without a host are not listed; no words list nothing.
+    """
     host, path = url_parts(F.col("url"))
+    unwanted = F.array(*map(F.lit, words)).cast("array<string>")
     return (
         pages.select(host.alias("host"), path.alias("path"))
-        .where(F.col("host").rlike(rf"(^|[.-])({'|'.join(words)})([.-]|$)"))
+        .where(F.arrays_overlap(F.split("host", "[.-]"), unwanted))
         .select(canonical(F.col("host"), F.col("path")).alias("key"))
     )
