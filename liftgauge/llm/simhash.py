@@ -174,7 +174,11 @@ def star_links(prints: DataFrame, distance: int) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every linked node, by alternating large and small stars until nothing moves."""
+    """(node, root) for every linked node, by alternating large and small stars until nothing moves.
+
+    What is joined back to the edges of a node is a written table and not the grouping of the same shuffle, so
+    that Spark can split the edges of a hub over many tasks.
+    """
     edges, before = written(links, "links"), None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -182,9 +186,12 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(
+            both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = written(
+            both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(),
+            "large-stars")
+        down = written(large.groupBy("u").agg(F.min("v").alias("m")), "down")
         small = large.join(down, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = written(
             small.union(down.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "stars")
@@ -195,9 +202,11 @@ def grouped(documents: DataFrame, distance: int = 2) -> DataFrame:
     prints = written(fingerprints(documents), "fingerprints")
     nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     linked = components(star_links(nodes, distance))
-    named = nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = written(
+        nodes.join(linked, nodes["fp"] == linked["node"], "left").select(
+            "fp", "least", F.coalesce("root", "fp").alias("root")),
+        "roots")
+    names = written(named.groupBy("root").agg(F.min("least").alias("component_id")), "components")
     labels = named.select("fp", "root").join(names, "root").select("fp", "root", "component_id")
     return prints.join(labels, "fp").select("doc_id", "text_key", "fp", "root", "component_id")
 
