@@ -5,17 +5,25 @@ from __future__ import annotations
 import base64
 import gzip
 import io
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from datetime import UTC, datetime, timedelta
+from itertools import pairwise
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from liftgauge.session import scratch_path, written
 
 RECORDS_PER_FILE = 1000
+#: Pages of more characters of HTML get an archive each, so that no archive outgrows what one row can hold.
+LARGE_PAGE = 1 << 18
+#: Entries of the index that a partition merges, about, and entries of a run that are unpacked at once.
+RANGE_ENTRIES = 200_000
+BLOCK_ENTRIES = 512
 END = "\r\n\r\n"
 EPOCH = datetime(2024, 1, 1, tzinfo=UTC)
 #: The made-up capture times of the pages repeat after so many ids, so that any id has one.
@@ -61,7 +69,7 @@ def record(page_id, url, html, digest, size, first, least) -> str:
 
 
 def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
-    """A record for every row, as gzipped WARC files of bounded length under `path`.
+    """A record for every row, as gzipped WARC files under `path`: a thousand small pages or one large page each.
 
     Of equal payloads of `least` bytes or more the one with the smallest page_id is the response; rows that share
     that id are responses all. Rows without an id among rows with ids are revisits. The first ids are
@@ -78,10 +86,12 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([record(*row, least) for row in rows], pa.string())], names=["value"])
 
-    joined = digests.join(first, ["payload_digest", "payload_bytes"], "left").select(
-        "page_id", "url", "html", "payload_digest", "payload_bytes", "first")
-    joined.mapInArrow(write, "value string").write.option("lineSep", END).option("compression", "gzip").option(
-        "maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    large = F.coalesce(F.length(F.col("html").cast("string")) > LARGE_PAGE, F.lit(False))
+    for some, records in ((~large, RECORDS_PER_FILE), (large, 1)):
+        joined = with_digests(pages.where(some)).join(first, ["payload_digest", "payload_bytes"], "left").select(
+            "page_id", "url", "html", "payload_digest", "payload_bytes", "first")
+        joined.mapInArrow(write, "value string").write.mode("append").option("lineSep", END).option(
+            "compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def parsed(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -148,7 +158,25 @@ def _batch(columns, runs=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, names=names)
 
 
-def loser_tree_merge(runs: list[list[tuple]], order=_order) -> Iterator[tuple]:
+class PackedRun(Sequence):
+    """A sorted run kept in Arrow's columns; read from front to back it unpacks one block at a time."""
+
+    def __init__(self, batches: list[pa.RecordBatch]):
+        self.table = pa.Table.from_batches(batches)
+        self.start, self.block = 0, []
+
+    def __len__(self) -> int:
+        return self.table.num_rows
+
+    def __getitem__(self, i: int) -> tuple:
+        if not self.start <= i < self.start + len(self.block):
+            self.start = i - i % BLOCK_ENTRIES
+            columns = self.table.slice(self.start, BLOCK_ENTRIES).columns
+            self.block = list(zip(*(c.to_pylist() for c in columns), strict=True))
+        return self.block[i - self.start]
+
+
+def loser_tree_merge(runs: Sequence[Sequence[tuple]], order=_order) -> Iterator[tuple]:
     """Merge sorted runs. Inner nodes hold the loser of their match, so each step replays one path only."""
     k = len(runs)
     if not k:
@@ -177,20 +205,24 @@ def loser_tree_merge(runs: list[list[tuple]], order=_order) -> Iterator[tuple]:
             node //= 2
 
 
-def capture_histories(runs: DataFrame) -> DataFrame:
-    """All entries in one order by URL key, time and page, over the partitions of the result and within them.
+def capture_histories(runs: DataFrame, size: int) -> DataFrame:
+    """All `size` entries in one order by URL key, time and page, over the partitions of the result and within them.
 
-    Each partition takes a range of keys from every run, as a run each, and merges them. Ranges are cut by page as well, so that
-    the captures of one URL may fill many partitions. A partition's share of the index is held in memory.
+    Each partition takes a range of keys from every run, as a run each, and merges them. The ranges are as many as
+    keep a partition at about RANGE_ENTRIES entries. They are cut by page and run as well, so that the captures of one
+    URL may fill many partitions. A partition holds its entries packed and unpacks a block of each run.
     """
     def merge(batches):
-        by_run: dict[str, list[tuple]] = {}
+        by_run: dict[str, list[pa.RecordBatch]] = {}
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for run, *entry in zip(*columns, strict=True):
-                by_run.setdefault(run, []).append(tuple(entry))
+            names = batch.column("run")
+            cut = np.flatnonzero(pc.not_equal(names[1:], names[:-1]).to_numpy(zero_copy_only=False)) + 1
+            for begin, end in pairwise([0, *cut.tolist(), batch.num_rows]):
+                if end > begin:
+                    part = batch.slice(begin, end - begin)
+                    by_run.setdefault(names[begin].as_py(), []).append(part.select(_NAMES))
         out: list[tuple] = []
-        for entry in loser_tree_merge(list(by_run.values())):
+        for entry in loser_tree_merge([PackedRun(parts) for parts in by_run.values()]):
             out.append(entry)
             if len(out) == 8192:
                 yield _batch(list(zip(*out, strict=True)))
@@ -199,7 +231,9 @@ def capture_histories(runs: DataFrame) -> DataFrame:
             yield _batch(list(zip(*out, strict=True)))
 
     order = ["url_key", "captured", "page_id"]
-    dealt = runs.repartitionByRange(*order).sortWithinPartitions("run", *order)
+    least = int(runs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = max(least, -(-size // RANGE_ENTRIES))
+    dealt = runs.repartitionByRange(ranges, *order, "run").sortWithinPartitions("run", *order)
     return dealt.mapInArrow(merge, INDEX)
 
 
@@ -211,4 +245,6 @@ def archived(pages: DataFrame, least: int = 0) -> DataFrame:
     spark = pages.sparkSession
     path = scratch_path(spark, "archives")
     write_archives(pages, path, least)
-    return capture_histories(capture_runs(spark, path))
+    # Kept, as cutting the ranges reads the entries before they are dealt.
+    runs = written(capture_runs(spark, path), "capture-runs")
+    return capture_histories(runs, runs.count())
