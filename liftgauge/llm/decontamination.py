@@ -13,8 +13,11 @@ from liftgauge.llm.text_bytes import Words, slices
 from liftgauge.session import written
 
 SHINGLE = 5
-#: Of the filter of benchmark shingles: 8 million bits, whatever the size of the benchmark.
-FILTER_WORDS = 1 << 17
+#: The filter of benchmark shingles has 64-bit words for at least so many bits a shingle, from 1 MB up to 128 MB.
+#: A fuller one lets more shingles pass to the join, which decides in any case.
+SHINGLE_BITS = 16
+LEAST_WORDS = 1 << 17
+MOST_WORDS = 1 << 24
 
 
 def item_windows(items: DataFrame, window: int) -> DataFrame:
@@ -49,18 +52,25 @@ def item_windows(items: DataFrame, window: int) -> DataFrame:
     return rows.mapInArrow(cut, "item_id long, words string, n int, shingles array<long>").distinct()
 
 
+def filter_words(shingles: int) -> int:
+    """64-bit words of the filter for so many shingles, a power of two."""
+    needed = -(-shingles * SHINGLE_BITS // 64)
+    return min(max(LEAST_WORDS, 1 << max(needed - 1, 0).bit_length()), MOST_WORDS)
+
+
 def shingle_filter(hashes: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with a bit for each hash in column h."""
-    bits = hashes.groupBy(F.pmod("h", F.lit(FILTER_WORDS)).alias("at")).agg(
+    """A bitmap, as large as the number of rows asks for, with a bit for each hash in column h."""
+    size = filter_words(hashes.count())
+    bits = hashes.groupBy(F.pmod("h", F.lit(size)).alias("at")).agg(
         F.bit_or(F.expr("shiftleft(1L, CAST(shiftrightunsigned(h, 58) AS INT))")).alias("bits"))
     got = bits.toPandas()
-    out = np.zeros(FILTER_WORDS, np.int64)
+    out = np.zeros(size, np.int64)
     out[got["at"].to_numpy(np.int64)] = got["bits"].to_numpy(np.int64)
     return out
 
 
 def _passes(filter_bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    word = filter_bits[h % FILTER_WORDS].view(np.uint64)
+    word = filter_bits[h % len(filter_bits)].view(np.uint64)
     return (word >> (h.view(np.uint64) >> np.uint64(58))) & np.uint64(1) == 1
 
 
