@@ -1,0 +1,239 @@
+"""The corpus pipeline stage by stage: every stage's rows against a plain version on what the stage before kept."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+from types import SimpleNamespace
+
+import numpy as np
+import pytest
+import sentencepiece
+import xxhash
+from plain import kept_by_exact_quantiles
+
+import corpus_pipeline
+from liftgauge.llm import decontamination, pii, piece_codec, simhash, warc
+
+rnd = random.Random(23)
+SPOKEN = [a + b for a in ("lo", "mi", "Ré", "ka", "tu", "Sen") for b in ("ra", "ne", "st", "vo", "é", "lim")]
+
+
+def sentence(n):
+    return " ".join(rnd.choice(SPOKEN) for _ in range(n))
+
+
+PASSAGE = sentence(30)
+ITEMS = [(1, PASSAGE), (2, sentence(14)), (3, None), (4, "!?"), (2, "ka ra")]
+PERSONAL = ["write to a.b@c.example.org", "call +1 (212) 555-0100", "or 212-555-0177 at noon", "host 10.0.0.1 and 999.1.1.1",
+            "card 4111 1111 1111 1111", "mail sam at mail dot example dot org"]
+COPIED = [sentence(90) for _ in range(12)]
+
+
+def texts():
+    yield from (None, "", " \n\t", "lora", "lora " * 40, "| | | # # $ " * 6 + sentence(12))
+    for i in range(300):
+        yield sentence(rnd.randint(12, 60)) + "".join(f"\n{rnd.choice(PERSONAL)}" for _ in range(i % 3)) + " |" * (9 * (i % 11 == 0))
+    for text in COPIED:
+        yield text
+        for _ in range(5):
+            words = text.split()
+            words[rnd.randrange(len(words))] = rnd.choice(SPOKEN)
+            yield rnd.choice([text, text.upper(), " ".join(words)])
+    for i in range(20):
+        words = PASSAGE.split()
+        yield f"{sentence(25)} {' '.join(words[i % 15:i % 15 + 8 + i % 5])}, {sentence(25)}"
+    yield sentence(30_000)
+
+
+ROWS = [(i, t, rnd.choice(["en", "en", "de", None]), rnd.choice(["a"] * 6 + ["b", "", None]), len(t or ""))
+        for i, t in enumerate(texts())]
+ROWS += ROWS[10:14]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def lower(text):
+    return re.sub("[A-Z]", lambda m: m.group().lower(), text or "")
+
+
+def measured(text, lang, source):
+    words, at = re.findall(r"[^\x20\x09-\x0D]+", text or ""), {}
+    for i in range(len(words) - 4):
+        at.setdefault(tuple(words[i:i + 5]), []).append(i)
+    repeated = {p + j for places in at.values() if len(places) > 1 for p in places for j in range(5)}
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    return SimpleNamespace(
+        lang=lang, source=source, n_words=len(words), word_chars=sum(map(len, words)), n_lines=len(lines),
+        n_symbols=len(re.findall(r"[#*$%&|<>]", text or "")), n_dup_lines=len(lines) - len(set(lines)),
+        base_failed=len(words) < 10 or 100 * len(repeated) > 20 * len(words))
+
+
+def plainly_good(rows):
+    kept = kept_by_exact_quantiles({i: measured(r[1], r[2], r[3]) for i, r in enumerate(rows)})
+    return [r for i, r in enumerate(rows) if kept[i]]
+
+
+def plainly_single(rows):
+    def print_of(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i:i + 3]).encode(), 42) for i in range(max(1, len(w) - 2))] if w else []
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    prints = {r[0]: print_of(r[1]) for r in rows}
+    name, moved = {doc: doc for doc in prints}, True
+    links = [(a, b) for a in prints for b in prints if a < b and (prints[a] ^ prints[b]).bit_count() <= 2]
+    while moved:
+        moved = False
+        for a, b in links:
+            if name[a] != name[b]:
+                name[a] = name[b] = min(name[a], name[b])
+                moved = True
+    return sorted({r for r in rows if name[r[0]] == r[0]})
+
+
+def plainly_clean(rows):
+    find, windows = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+").findall, set()
+    for _, text in ITEMS:
+        w = find(lower(text))
+        windows |= {tuple(w[i:i + 10]) for i in range(max(1, len(w) - 9) if w else 0)}
+
+    def hit(text):
+        w = find(lower(text))
+        return any(tuple(w[i:i + n]) in windows for n in {len(x) for x in windows} for i in range(len(w) - n + 1))
+
+    return [r for r in rows if not hit(r[1])]
+
+
+def plainly_masked(rows):
+    field = pii.trained()
+
+    def spans(text):
+        out = []
+        for kind, pattern in pii.PATTERNS.items():
+            for m in pattern.finditer(text):
+                digits = re.sub(r"\D", "", m.group())
+                good = {"email": True, "ip": kind == "ip" and all(int(p) < 256 for p in m.group().split(".")),
+                        "card": 14 <= len(digits) <= 19 and pii.luhn(digits), "phone": 10 <= len(digits) <= 15}[kind]
+                out += [(m.start(), m.end(), kind)] * good
+        met = [(s, e, k) for k, s, e in pii.field_spans(field, [text])[0] if all(e <= a or b <= s for a, b, _ in out)]
+        return sorted(out + met)
+
+    def masked(text):
+        signs, names = list(text), {}
+        end = 0
+        for s, e, kind in spans(text):
+            if s >= end:
+                names[s] = f"<{kind.upper()}>"
+            for i in range(s, e):
+                signs[i] = ""
+            end = max(end, e)
+        return "".join(names.get(i, "") + sign for i, sign in enumerate(signs))
+
+    return [(r[0], masked(r[1]), r[2], r[3], len(masked(r[1]))) for r in rows]
+
+
+def plainly_encoded(rows):
+    library = sentencepiece.SentencePieceProcessor(model_file=str(piece_codec.public_model()))
+    digest = lambda text: hashlib.sha256(text.encode()).hexdigest()
+    out = []
+    for doc, text, *_ in rows:
+        ids = library.encode(text)
+        decoded = library.decode(ids)
+        out.append((doc, len(ids), digest(",".join(map(str, ids))), digest(decoded), ids, decoded))
+    return out
+
+
+PLAIN = [plainly_good, plainly_single, plainly_clean, plainly_masked, plainly_encoded]
+
+
+def ordered(rows):
+    return sorted((tuple(r) for r in rows), key=str)
+
+
+def test_every_stage_and_the_whole(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame(ROWS, SCHEMA).repartition(5).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    docs, rows = spark.read.parquet(f"{folder}/documents.parquet"), ROWS
+    for (name, stage), plain in zip(corpus_pipeline.STAGES, PLAIN, strict=True):
+        out, want = stage(spark, docs, folder), plain(rows)
+        assert name == corpus_pipeline.STAGES[-1][0] or out.columns == docs.columns
+        out.write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+        assert ordered(docs.collect()) == ordered(want), name
+        # Every stage does something here; what it leaves is most of what it got.
+        assert ordered(want) != ordered(rows) and len(want) > 0.6 * len(rows), name
+        rows = want
+    assert ordered(corpus_pipeline.run(spark, folder).collect()) == ordered(rows)
+
+
+def test_empty_documents_through_all_stages(spark, tmp_path):
+    folder = str(tmp_path)
+    spark.createDataFrame([], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, folder).count() == 0
+
+
+def test_components_of_a_hub(spark):
+    """One print linked to very many, two large stars that meet in one leaf, and a chain."""
+    leaves = 40_000
+    links = [(i, 0) for i in range(1, leaves)] + [(leaves + i, leaves) for i in range(1, 500)] + [(leaves + 1, 7)]
+    links += [(10**6 + i + 1, 10**6 + i) for i in range(60)]
+    made = spark.createDataFrame(links, "u long, v long").distinct()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
+                "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        found = {r.node: r.root for r in simhash.components(made).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    # Roots themselves are no nodes of a link from a larger to a smaller one.
+    want = {n: 0 for n in [*range(1, leaves), *range(leaves, leaves + 500)]} | {10**6 + i + 1: 10**6 for i in range(60)}
+    assert found == want
+
+
+def test_filter_grows_with_the_benchmark(spark, monkeypatch):
+    assert decontamination.filter_words(0) == decontamination.LEAST_WORDS
+    assert decontamination.filter_words(10**6) == 1 << 18 and decontamination.filter_words(10**12) == decontamination.MOST_WORDS
+    monkeypatch.setattr(decontamination, "LEAST_WORDS", 1)
+    for n in (0, 1, 3, 5000):
+        hashes = np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64).view(np.int64)
+        bits = decontamination.shingle_filter(spark.createDataFrame([(int(h),) for h in hashes], "h long"))
+        assert 16 * n <= 64 * len(bits) <= max(64, 32 * n)
+        assert decontamination._passes(bits, hashes).all()
+        others = np.array([rnd.getrandbits(64) for _ in range(5000)], np.uint64).view(np.int64)
+        assert decontamination._passes(bits, others).mean() < 0.08
+
+
+@pytest.mark.parametrize(("large", "entries", "block"), [(1 << 18, 200_000, 512), (50, 40, 3), (0, 1, 1)])
+def test_archives_of_any_bounds(spark, monkeypatch, large, entries, block):
+    """Pages above and below the size of a large one share payloads; small ranges and blocks change no entry."""
+    html = [rnd.choice([None, "", "é" * rnd.choice([1, 49, 50, 51, 400]), f"<p>{i}</p>" + "x" * rnd.randint(0, 90)]) for i in range(300)]
+    rows = [(i, rnd.choice([None, f"http://h{i % 3}.example.org/{i % 5}"]), x) for i, x in enumerate(html)]
+    rows += rows[:20]
+    for name, value in (("LARGE_PAGE", large), ("RANGE_ENTRIES", entries), ("BLOCK_ENTRIES", block)):
+        monkeypatch.setattr(warc, name, value)
+    out = warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()
+    keys = [(r.url_key, r.captured, r.page_id) for r in out]
+    assert keys == sorted(keys) and sorted(r.page_id for r in out) == sorted(r[0] for r in rows)
+    first = {}
+    for i, x in enumerate(html):
+        first.setdefault(x or "", i)
+    for r in out:
+        own = first[html[r.page_id] or ""]
+        assert (r.record_type, r.refers_to) == (("response", None) if own == r.page_id else ("revisit", own))
+        assert r.payload_bytes == len((html[r.page_id] or "").encode())
+
+
+def test_packed_run_reads_like_a_list(monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_ENTRIES", 4)
+    entries = sorted((f"k{rnd.randint(0, 5)}", "t", i, i, "d", "response", None) for i in range(23))
+    columns = list(zip(*entries, strict=True))
+    packed = warc.PackedRun([warc._batch([c[:9] for c in columns]), warc._batch([c[9:] for c in columns])])
+    assert len(packed) == 23 and [packed[i] for i in range(23)] == entries and packed[2] == entries[2]
+    other = [("k2", "t", 99, 0, "d", "response", None)]
+    assert list(warc.loser_tree_merge([packed, other])) == sorted(entries + other, key=warc._order)
