@@ -21,11 +21,12 @@ def enrich(sales: DataFrame, metrics: Metrics) -> DataFrame:
     })
 
 
-def transaction_pivot(enriched: DataFrame, metrics: Metrics) -> DataFrame:
+def transaction_pivot(enriched: DataFrame, metrics: Metrics, near: tuple[str, ...] = ()) -> DataFrame:
     """One row per transaction with a column per measure and category bucket.
 
     The buckets are columns of one conditional aggregation: a single shuffle, combined on the map
     side, so that a transaction with very many lines still arrives as one row per map task.
+    `near` are columns that customer and day decide; lines already dealt by them are not shuffled again.
     """
     measures = ("Quantity", "Avg_Price", "Sales")
     # Cut once for a line, not for each bucket.
@@ -45,7 +46,7 @@ def transaction_pivot(enriched: DataFrame, metrics: Metrics) -> DataFrame:
         ]
     keys = ["CustomerID", "Transaction_ID", "Transaction_Date"]
     lines = enriched.dropna(subset=keys).withColumns({name: F.expr(part) for name, part in cut.items()})
-    pivot = lines.groupBy(*keys).agg(*cells)
+    pivot = lines.groupBy(*keys, *near).agg(*cells)
     totals = {
         f"{measure}_All": F.expr(" + ".join(map(quoted, metrics.by_bucket(measure))))
         for measure in ("Quantity", "Sales", "Coupons")
@@ -69,14 +70,14 @@ def mean(metric: str, metrics: Metrics, over: str = "") -> Column:
     return F.expr(f"avg({name}) {over}" if metric in metrics.counts else exact_avg(name, over))
 
 
-def customer_days(pivot: DataFrame, metrics: Metrics) -> DataFrame:
+def customer_days(pivot: DataFrame, metrics: Metrics, near: tuple[str, ...] = ()) -> DataFrame:
     """The core fact table: one row per customer and day.
 
     Each pivot row is a different transaction of its customer and day, so a count is the number of
-    distinct transactions.
+    distinct transactions. The columns `near` are as in `transaction_pivot` and come last.
     """
     sums = [total(m, metrics).alias(m) for m in metrics.additive if m != "Transactions"]
-    daily = pivot.groupBy("CustomerID", "Transaction_Date").agg(
+    daily = pivot.groupBy("CustomerID", "Transaction_Date", *near).agg(
         F.count("Transaction_ID").alias("Transactions"),
         F.expr(exact_avg("Price_All")).alias("Price_All"),
         *sums,
@@ -87,11 +88,12 @@ def customer_days(pivot: DataFrame, metrics: Metrics) -> DataFrame:
         F.month("Transaction_Date").alias("Month"),
         F.year("Transaction_Date").alias("Year"),
         *map(quoted, metrics.all),
+        *near,
     )
 
 
-def daily_facts(sales: DataFrame, metrics: Metrics) -> DataFrame:
-    return customer_days(transaction_pivot(enrich(sales, metrics), metrics), metrics)
+def daily_facts(sales: DataFrame, metrics: Metrics, near: tuple[str, ...] = ()) -> DataFrame:
+    return customer_days(transaction_pivot(enrich(sales, metrics), metrics, near), metrics, near)
 
 
 def sales_by(daily: DataFrame, *keys: str) -> DataFrame:

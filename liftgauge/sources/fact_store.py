@@ -6,7 +6,7 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,6 +16,11 @@ from liftgauge.params import FACTS_MONTH, Metrics
 BUCKET = "Facts_Bucket"
 CELL = [FACTS_MONTH, BUCKET]
 LINE_KEYS = ["CustomerID", "Transaction_ID", "Transaction_Date"]
+PART = "_part"
+#: A cell with more lines is dealt in several parts.
+PART_LINES = 1 << 19
+#: The lines of a cell that lie in so many runs are put together when the next batch touches it.
+MOST_RUNS = 16
 
 
 def _with_cell(columns: T.StructType) -> T.StructType:
@@ -63,14 +68,16 @@ class Folder:
 
 @dataclass(frozen=True)
 class Manifest:
-    """Which run holds the lines and the facts of each month and bucket, and which batches are in them."""
+    """Which runs hold the lines and the facts of each month and bucket, and which batches are in them."""
 
     version: int
     batches: tuple[str, ...]
-    # "month/bucket" to the run that wrote it
+    # "month/bucket" to the run that wrote its facts
     runs: dict[str, str]
     line_schema: str
     fact_schema: str
+    # "month/bucket" to the runs that its lines lie in
+    line_runs: dict[str, list[str]]
 
     def text(self) -> str:
         return json.dumps(self.__dict__ | {"batches": list(self.batches)})
@@ -78,14 +85,17 @@ class Manifest:
     @classmethod
     def of(cls, text: str) -> Manifest:
         got = json.loads(text)
+        # Older manifests have one run for both.
+        got.setdefault("line_runs", {cell: [run] for cell, run in got["runs"].items()})
         return cls(**got | {"batches": tuple(got["batches"])})
 
 
 class FactStore:
     """Sales lines and the facts made of them, side by side, by month and by a hash bucket of the customer.
 
-    `refresh` adds a batch of lines. It reads and rewrites the lines and facts of those months and buckets alone that the batch
-    touches, as a customer's day lies in one of them, into new folders, and then puts down the next manifest.
+    `refresh` adds a batch of lines. It reads the lines and rewrites the facts of those months and buckets alone that the batch
+    touches, as a customer's day lies in one of them, into new folders, and then puts down the next manifest. Lines that
+    are there stay in their files; they are rewritten only where a correction takes some away, or where they lie in many files.
     A reader takes the newest manifest and so sees all of a batch or nothing; a refresh that ends early leaves only
     folders that `vacuum` clears. Of two refreshes at once one fails and can be run again.
     """
@@ -103,40 +113,67 @@ class FactStore:
         now = self.manifest()
         if now is None:
             raise ValueError(f"{self.path} holds no facts yet")
-        return self._read("facts", now.fact_schema, now.runs).drop(BUCKET)
+        return self._read("facts", now.fact_schema, {cell: [run] for cell, run in now.runs.items()}).drop(BUCKET)
 
     def lines(self) -> DataFrame:
         now = self.manifest()
         if now is None:
             raise ValueError(f"{self.path} holds no lines yet")
-        return self._read("lines", now.line_schema, now.runs).drop(*CELL)
+        return self._read("lines", now.line_schema, now.line_runs).drop(*CELL)
 
-    def _read(self, kind: str, schema: str, runs: dict[str, str]) -> DataFrame:
+    def _read(self, kind: str, schema: str, runs: dict[str, list[str]]) -> DataFrame:
         columns = _with_cell(T.StructType.fromJson(json.loads(schema)).add("run", T.StringType()))
         if not runs:
             return self.spark.createDataFrame([], columns).drop("run")
         base = f"{self.path}/{kind}"
         paths = [f"{base}/run={run}/{FACTS_MONTH}={month}/{BUCKET}={bucket}"
-                 for (month, bucket), run in ((cell.split("/"), run) for cell, run in runs.items())]
+                 for (month, bucket), run in ((cell.split("/"), run) for cell, found in runs.items() for run in found)]
         return self.spark.read.schema(columns).option("basePath", base).parquet(*paths).drop("run")
 
     def _placed(self, lines: DataFrame) -> DataFrame:
-        return self._with_cells(lines.dropna(subset=LINE_KEYS))
-
-    def _with_cells(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumns({
+        return lines.dropna(subset=LINE_KEYS).withColumns({
             FACTS_MONTH: F.trunc("Transaction_Date", "MM"),
             BUCKET: F.pmod(F.hash("CustomerID"), F.lit(self.buckets)).cast("int"),
         })
 
     def _write(self, rows: DataFrame, kind: str, run: str) -> None:
-        # A cell that holds much is split over tasks at run time, which a plain repartitioning would not do.
-        rows.hint("rebalance", *CELL).write.partitionBy(*CELL).parquet(f"{self.path}/{kind}/run={run}")
+        rows.write.partitionBy(*CELL).parquet(f"{self.path}/{kind}/run={run}")
 
     def _cells(self, rows: DataFrame) -> set[str]:
         """At most months times buckets."""
         return {f"{r[0]}/{r[1]}" for r in rows.select(*CELL).distinct().collect()}
 
+    def _written_cells(self, kind: str, run: str) -> set[str]:
+        return {f"{month.partition('=')[2]}/{bucket.partition('=')[2]}"
+                for month in self.folder.names(f"{kind}/run={run}") if "=" in month
+                for bucket in self.folder.names(f"{kind}/run={run}/{month}")}
+
+    def _dealt(self, lines: DataFrame, rows: DataFrame, *keys: str) -> DataFrame:
+        """`rows` shuffled by cell and, as far as the cells of `lines` are large, by a hash of `keys`: the column PART."""
+        most = lines.groupBy(*CELL).count().agg(F.max("count")).first()[0] or 0
+        return rows.withColumn(PART, F.pmod(F.hash(*keys), F.lit(1 + most // PART_LINES))).repartition(*CELL, PART)
+
+    def _facts(self, lines: DataFrame) -> DataFrame:
+        """The facts of whole cells. One shuffle deals the lines as the transactions, the days and the files need them; the
+        lines of a customer's day meet in one task, which adds them up as they come.
+        """
+        dealt = self._dealt(lines, lines, "CustomerID", "Transaction_Date")
+        return daily_facts(dealt, self.metrics, (*CELL, PART)).drop(PART)
+
+    def _corrected(self, lines: DataFrame, gone: DataFrame, incoming: DataFrame) -> DataFrame:
+        """`incoming` and those of the lines whose cell and transaction are not in `gone`, dealt once for that and the files."""
+        keys = LINE_KEYS[:2]
+        rows = (
+            lines.select(*incoming.columns).withColumn("_kind", F.lit("there"))
+            .unionByName(gone.withColumn("_kind", F.lit("gone")), allowMissingColumns=True)
+            .unionByName(incoming.withColumn("_kind", F.lit("new"))))
+        here = Window.partitionBy(*CELL, PART, *keys)
+        return (
+            self._dealt(lines, rows, *keys)
+            .withColumn("_gone", F.max(F.col("_kind") == "gone").over(here))
+            .where((F.col("_kind") == "new") | (F.col("_kind") == "there") & ~F.col("_gone"))
+            .select(*incoming.columns))
+
     def refresh(self, lines: DataFrame, batch: str, corrects: bool = False) -> Manifest:
         """Add the lines of a batch, new days and late ones alike.
 
@@ -144,34 +181,47 @@ class FactStore:
         transactions (customer and transaction id), on whatever day, goes. A batch that is in already changes nothing,
         so a refresh can be repeated. Lines without customer, transaction or date are left out, as everywhere.
         """
-        before = self.manifest() or Manifest(0, (), {}, "", "")
+        before = self.manifest() or Manifest(0, (), {}, "", "", {})
         if batch in before.batches:
             return before
         if before.line_schema and json.loads(before.line_schema) != json.loads(lines.schema.json()):
             raise ValueError(f"the lines of batch {batch} have another schema than those of the store")
         run = uuid.uuid4().hex
         incoming = self._placed(lines)
-        touched = self._cells(incoming)
-        transactions = incoming.select(*LINE_KEYS[:2]).distinct()
-        if corrects and before.runs:
-            buckets = {cell.rpartition("/")[2] for cell in touched}
-            near = {cell: r for cell, r in before.runs.items() if cell.rpartition("/")[2] in buckets}
-            touched |= self._cells(self._read("lines", before.line_schema, near).join(transactions, LINE_KEYS[:2], "left_semi"))
-        kept = self._read("lines", lines.schema.json(), {c: r for c, r in before.runs.items() if c in touched})
-        if corrects:
-            kept = kept.join(transactions, LINE_KEYS[:2], "left_anti")
-        self._write(kept.select(*incoming.columns).unionByName(incoming), "lines", run)
-        written = self.spark.read.schema(_with_cell(T.StructType.fromJson(json.loads(lines.schema.json())))).parquet(
-            f"{self.path}/lines/run={run}")
-        # A transaction has one date and a customer one bucket, so all lines of a customer's day are here.
-        facts = daily_facts(written.drop(*CELL), self.metrics)
-        self._write(self._with_cells(facts), "facts", run)
+        # A cell that holds much is split over tasks at run time, which a plain repartitioning would not do.
+        rows = incoming.hint("rebalance", *CELL)
+        # Of these cells all lines are written anew.
+        anew = {cell for cell, r in before.line_runs.items() if len(r) >= MOST_RUNS}
+        if anew or corrects and before.line_runs:
+            touched = self._cells(incoming)
+            anew &= touched
+            there = lambda cells: self._read("lines", lines.schema.json(), {c: before.line_runs[c] for c in cells})
+            if corrects:
+                buckets = {cell.rpartition("/")[2] for cell in touched}
+                near = there(cell for cell in before.line_runs if cell.rpartition("/")[2] in buckets)
+                found = near.join(incoming.select(*LINE_KEYS[:2]).distinct(), LINE_KEYS[:2], "left_semi")
+                gone = found.select(*CELL, *LINE_KEYS[:2]).distinct()
+                # Both the cells and the lines to be left out come of it.
+                gone.write.parquet(f"{self.path}/gone/run={run}")
+                gone = self.spark.read.schema(gone.schema).parquet(f"{self.path}/gone/run={run}")
+                anew |= self._cells(gone)
+                if anew:
+                    rows = self._corrected(there(anew), gone, incoming)
+            elif anew:
+                rows = there(anew).select(*incoming.columns).unionByName(incoming).hint("rebalance", *CELL)
+        self._write(rows, "lines", run)
+        self.folder.delete(f"gone/run={run}")
+        added = self._written_cells("lines", run)
+        line_runs = {cell: r for cell, r in before.line_runs.items() if cell not in anew}
+        line_runs |= {cell: [*line_runs.get(cell, ()), run] for cell in sorted(added)}
+        # A transaction has one date and a customer one bucket, so all lines of a customer's day are in one cell.
+        facts = self._facts(self._read("lines", lines.schema.json(), {cell: line_runs[cell] for cell in added}))
+        self._write(facts, "facts", run)
         # A cell whose lines have all moved elsewhere is not there any more.
-        full = {f"{month.partition('=')[2]}/{bucket.partition('=')[2]}"
-                for month in self.folder.names(f"facts/run={run}") if "=" in month
-                for bucket in self.folder.names(f"facts/run={run}/{month}")}
-        runs = {cell: r for cell, r in before.runs.items() if cell not in touched} | {cell: run for cell in sorted(full)}
-        after = Manifest(before.version + 1, (*before.batches, batch), runs, lines.schema.json(), facts.schema.json())
+        runs = {cell: r for cell, r in before.runs.items() if cell not in added | anew}
+        runs |= dict.fromkeys(sorted(self._written_cells("facts", run)), run)
+        after = Manifest(before.version + 1, (*before.batches, batch), runs, lines.schema.json(),
+                         facts.drop(*CELL).schema.json(), line_runs)
         if not self.folder.put(f"manifests/{after.version:012d}.json", after.text()):
             raise RuntimeError(f"{self.path} was refreshed by another one in the meantime; batch {batch} is not in it")
         return after
@@ -179,10 +229,14 @@ class FactStore:
     def vacuum(self) -> None:
         """Delete older manifests and all runs that the newest one does not name. Nobody may be reading them any more."""
         now = self.manifest()
-        live = set(now.runs.values()) if now else set()
-        for kind in ("lines", "facts"):
+        live = {
+            "lines": {run for found in now.line_runs.values() for run in found} if now else set(),
+            "facts": set(now.runs.values()) if now else set(),
+            "gone": set(),
+        }
+        for kind, runs in live.items():
             for name in self.folder.names(kind):
-                if name.partition("=")[2] not in live:
+                if name.partition("=")[2] not in runs:
                     self.folder.delete(f"{kind}/{name}")
         for name in self.folder.names("manifests")[:-1]:
             self.folder.delete(f"manifests/{name}")

@@ -1,3 +1,4 @@
+import json
 import random
 from pathlib import Path
 
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from liftgauge.operators.facts import daily_facts
 from liftgauge.session import Store, shared_dir, written
-from liftgauge.sources import profile
+from liftgauge.sources import fact_store, profile
 from liftgauge.sources.fact_store import FactStore
 from liftgauge.sources.sales import read_initiatives_csv, read_sales_csv, read_sales_parquet, rejected_dates, split_sales_csv
 from liftgauge.sources.sinks import save_daily_bucketed, save_initiatives_bucketed, save_table
@@ -238,6 +239,55 @@ def test_refreshed_facts_are_those_of_a_rebuild(spark, sales, metrics, tmp_path)
         store.refresh(sales(late).withColumn("more", F.lit(1)), "other")
 
 
+def test_a_refresh_moves_few_lines(spark, sales, metrics, tmp_path, monkeypatch):
+    monkeypatch.setattr(fact_store, "PART_LINES", 20)
+    days = [f"2019-0{m}-0{d}" for m in (1, 2, 3) for d in range(1, 6)]
+    first = [(c, f"t{c}-{day}", day, "Bags", 1.0 + n, 2.5, "Used") for c in range(12) for day in days for n in range(2)]
+    late = [(c, f"late{c}", "2019-02-03", "Apparel", 3.0, 1.25, "No") for c in range(12)] + [(3, "new", "2019-04-01", "Bags", 1.0, 1.0, "No")]
+    # One transaction of January moves to March and another one of March changes; the customer without lines before is new.
+    fixes = [(2, "t2-2019-01-02", "2019-03-09", "Bags", 7.0, 0.5, "No"), (4, "t4-2019-03-01", "2019-03-01", "Bags", 8.0, 0.5, "No"),
+             (99, "t99", "2019-02-08", "Bags", 1.0, 1.0, "No"), (99, "t99", "2019-02-08", "Bags", 1.0, 1.0, "No")]
+    fixed = {(c, t) for c, t, *_ in fixes}
+    store = FactStore(spark, str(tmp_path / "store"), metrics, buckets=2)
+
+    def new_lines(before, after):
+        (run,) = {r for found in after.line_runs.values() for r in found} - {r for found in before.line_runs.values() for r in found}
+        return spark.read.parquet(f"{store.path}/lines/run={run}").count()
+
+    def is_rebuild_of(lines):
+        rebuilt = daily_facts(sales(lines), metrics)
+        assert sorted(map(tuple, store.daily().select(*rebuilt.columns).collect())) == sorted(map(tuple, rebuilt.collect()))
+        assert sorted(map(tuple, store.lines().select(*sales(lines).columns).collect())) == sorted(map(tuple, sales(lines).collect()))
+
+    one = store.refresh(sales(first), "first")
+    two = store.refresh(sales(late), "late")
+    assert new_lines(one, two) == len(late)
+    is_rebuild_of(first + late)
+    # Lines are shuffled once on their way to the facts, in several parts of a month.
+    facts = store._facts(store._read("lines", two.line_schema, two.line_runs))
+    assert facts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert store._dealt(*[store._read("lines", two.line_schema, two.line_runs)] * 2, "CustomerID").select("_part").distinct().count() > 1
+    three = store.refresh(sales(fixes), "fixes", corrects=True)
+    kept = [x for x in first + late if (x[0], x[1]) not in fixed]
+    is_rebuild_of(kept + fixes)
+    # Only the months and buckets that lose lines are written anew, the others keep their files.
+    lost = {cell for cell, found in two.line_runs.items() if not set(found) <= set(three.line_runs.get(cell, ()))}
+    assert 1 <= len(lost) <= 2 and {cell[:7] for cell in lost} == {"2019-01", "2019-03"}
+    assert new_lines(two, three) < len(kept)
+    assert not store.folder.names("gone")
+    # Many small batches do not pile up.
+    monkeypatch.setattr(fact_store, "MOST_RUNS", 2)
+    more = [(1, "more", "2019-02-01", "Bags", 1.0, 1.0, "No")]
+    four = store.refresh(sales(more), "more")
+    assert max(map(len, four.line_runs.values())) <= 3 and [len(r) for c, r in four.line_runs.items() if c not in three.line_runs or r != three.line_runs[c]] == [1]
+    store.vacuum()
+    is_rebuild_of(kept + fixes + more)
+    # A manifest from before lines had runs of their own.
+    old = json.loads(four.text())
+    del old["line_runs"]
+    assert fact_store.Manifest.of(json.dumps(old)).line_runs == {cell: [run] for cell, run in four.runs.items()}
+
+
 def test_a_store_deletes_what_it_holds(spark, sales, metrics, initiatives):
     from liftgauge.params import Periods
     from liftgauge.plans.campaign import Campaign
