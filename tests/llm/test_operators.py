@@ -472,3 +472,48 @@ def test_repeats_of_a_core_with_very_many_surroundings(spark):
     assert repeats.hot_cores(cut).count() == 1
     few = cut.where(F.col("piece") < 40)
     assert sorted(repeats.counted(few).collect()) == sorted(repeats.contested(few).collect()) != []
+
+
+def test_anchors_of_repeats_are_cheap_and_leftmost():
+    raw = np.frombuffer(rnd.randbytes(9000) + b"ab" * 900 + b"\0" * 900 + rnd.randbytes(50000), np.uint8)
+    rolled, starts = repeats.Rolled(raw), np.arange(len(raw) - repeats.GRAM + 1)
+    hashes = rolled.grams(repeats.GRAM, 0)
+    assert (hashes == rolled.of(starts, starts + repeats.GRAM, 0)).all()
+    grams = 400 - repeats.GRAM + 1
+    upper = (hashes >> np.uint64(32)).tolist()
+    found = repeats.anchors(hashes, 400)
+    assert len(found) == len(raw) - 399
+    for i in range(0, len(found), 7):
+        assert found[i] == min(range(i, i + grams), key=lambda p: (upper[p], p))
+
+    def gathered():
+        at, span = np.arange(len(hashes)), 1
+        while span * 2 <= grams:
+            at = np.where(hashes[at[:-span]] <= hashes[at[span:]], at[:-span], at[span:])
+            span *= 2
+
+    def seconds(work):
+        took = []
+        for _ in range(9):
+            begin = time.process_time()
+            work()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    assert seconds(lambda: repeats.anchors(hashes, 400)) < seconds(gathered) / 2
+
+
+def test_repeats_of_texts_around_a_slice(spark):
+    """Slices end between texts, and a text may be longer than one."""
+    long = rnd.randbytes(repeats.SLICE).hex()
+    texts = [long, "", None, long[-500:], "x" + long[:399], sentence(9), long[repeats.SLICE - 300:repeats.SLICE + 300],
+             *(sentence(90) for _ in range(300)), long[700:1200]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    found = by_id(repeats.without_repeats(df))
+    size = 2 * repeats.SLICE
+    assert (found[0].n_removed, found[0].n_spans) == (1600, 3)
+    assert found[0].kept_sha256 == hashlib.sha256(
+        (long[:700] + long[1200:repeats.SLICE - 300] + long[repeats.SLICE + 300:size - 500]).encode()).hexdigest()
+    assert [found[i].n_removed for i in (1, 2, 3, 4, 5, 6, len(texts) - 1)] == [0, 0, 500, 0, 0, 600, 500]
+    first = repeats.runs(df, 400).where("doc_id = 0").agg(F.min("s"), F.max("e"), F.sum(F.col("e") - F.col("s") + 1)).first()
+    assert tuple(first) == (0, size - 400, size - 399)
