@@ -517,3 +517,12 @@ def test_repeats_of_texts_around_a_slice(spark):
     assert [found[i].n_removed for i in (1, 2, 3, 4, 5, 6, len(texts) - 1)] == [0, 0, 500, 0, 0, 600, 500]
     first = repeats.runs(df, 400).where("doc_id = 0").agg(F.min("s"), F.max("e"), F.sum(F.col("e") - F.col("s") + 1)).first()
     assert tuple(first) == (0, size - 400, size - 399)
+
+
+def test_windows_of_hot_cores_are_not_broadcast(spark):
+    words = [(b"core", n, bytes([n % 5]) * 63, n.to_bytes(2, "big") * 31) for n in range(1, 600)]
+    cut = spark.createDataFrame(words, "core binary, piece long, left binary, right binary")
+    found = repeats.counted(repeats.written(cut, "few-pieces"))
+    assert found.count() > 0
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
