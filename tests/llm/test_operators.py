@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import random
 import re
 import textwrap
@@ -526,3 +527,11 @@ def test_windows_of_hot_cores_are_not_broadcast(spark):
     assert found.count() > 0
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_repeats_keep_no_table_that_is_done_with(spark, docs, monkeypatch):
+    closed, close = [], repeats.Store.close
+    monkeypatch.setattr(repeats.Store, "close", lambda store: (closed.append(store.path), close(store)))
+    assert repeats.without_repeats(docs).count() == len(ROWS)
+    assert ["repeat-runs" in closed[0], "repeat-pieces" in closed[1]] == [True, True] and len(closed) == 2
+    assert not any(os.path.exists(path.removeprefix("file:")) for path in closed)
